@@ -6,23 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.operators import features, heavy_keys, orphans, runs
+from codeloom.plans.base import CLEAN_ACTION, CLEAN_PATH, query
 from codeloom.session import materialize
 from codeloom.sources.tables import load
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 REFS_SQL = """
 with refs as (
   select 'edges.src' as ref_field, src as ref_key, dst as neighbour from (select distinct edge_id, src, dst from edges)
@@ -99,11 +86,6 @@ def p3_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_id.groupBy("ref_field", "period").agg(F.sum("n").alias("n_orphans"), F.count(F.lit(1)).alias("n_ids"))
 
 
-CLEAN_PATH = """case when file_path is null then null else
-    (case when replace(file_path, '\\', '/') like '/%' then '/' else '' end)
-    || array_to_string([x for x in string_split(replace(file_path, '\\', '/'), '/') if x not in ('', '.')], '/') end"""
-CLEAN_ACTION = "replace(lower(action_type), '-', '_')"
-
 FEATURES_SQL = f"""
 with v as (
   select * from actions where id is not null and file_path is not null and ts is not null

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from codeloom.plans import problems
+from codeloom.plans import base, graph_queries, problems  # noqa: F401  (imported for what they register)
 
 
 def queries() -> dict:
-    return dict(problems.QUERIES)
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(problems.SQL)
+    return dict(base.SQL)
