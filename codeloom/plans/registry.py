@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from codeloom.plans import base, graph_queries, problems  # noqa: F401  (imported for what they register)
+from codeloom.plans import base, graph_queries, index_queries, problems  # noqa: F401  (imported for what they register)
 
 
 def queries() -> dict:
