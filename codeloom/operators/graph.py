@@ -122,3 +122,32 @@ def approx_distance(nodes: DataFrame, query: str, candidates: DataFrame | None =
         .join(second.withColumn("second", F.lit(True)), "id", "left")
         .select("id", F.when(F.col("own"), 0).when(F.col("direct"), 1).when(F.col("second"), 2).alias("distance"))
     )
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(id, component): connected components of undirected links (a, b); component is its least id.
+
+    Rounds of two star steps: each id hands its larger neighbours, then its smaller ones, to the least it
+    knows. The least ids come from a grouped minimum and a join, so no list is built at a hub. The rounds end
+    when a checksum of the links stands still, after about as many as the log of the longest path.
+    """
+
+    def checksum(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = materialize(edges)
+    before = checksum(edges)
+    while before[0]:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = materialize(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        now = checksum(edges)
+        if now == before:
+            break
+        before = now
+    roots = edges.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)

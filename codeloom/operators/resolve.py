@@ -56,8 +56,8 @@ def normal_module(module: F.Column, source_file: F.Column) -> F.Column:
     return F.regexp_replace(F.regexp_replace(bare, "::|/", "."), r"^\.+", "")
 
 
-def resolve_imports(entities: DataFrame, imports: DataFrame) -> DataFrame:
-    """(src, dst): calls that name an imported symbol, or begin with an imported name.
+def resolve_calls(entities: DataFrame, imports: DataFrame) -> DataFrame:
+    """(src, call, dst): calls that name an imported symbol, or begin with an imported name.
 
     ``entities`` (id, file_path, name, calls), ``imports`` as extracted. `f()` after an import of f from m is
     m's f; `m.f()` after an import of m is m's f; `s.f()` after an import of s from m is f in m.s, else in m.
@@ -100,10 +100,18 @@ def resolve_imports(entities: DataFrame, imports: DataFrame) -> DataFrame:
     loose = wanted.withColumn("short", F.substring_index("module", ".", -1)).join(last, ["short", "name"])
     loose = loose.select("src", "call", "rank", F.lit(1).alias("loose"), F.col("id").alias("dst"))
     best = exact.unionByName(loose).groupBy("src", "call").agg(F.min_by("dst", F.struct("loose", "rank", "dst")).alias("dst"))
-    return best.where("src <> dst").select("src", "dst").distinct()
+    return best.where("src <> dst")
+
+
+def resolve_imports(entities: DataFrame, imports: DataFrame) -> DataFrame:
+    """The distinct (src, dst) of resolve_calls."""
+    return resolve_calls(entities, imports).select("src", "dst").distinct()
 
 
 def call_edges(entities: DataFrame, imports: DataFrame) -> DataFrame:
-    """(src, dst): calls resolved in the file, or written as an id, and those resolved through imports."""
-    inside = resolve_in_file(entities).where(F.col("target").contains("::")).select(F.col("id").alias("src"), F.col("target").alias("dst"))
-    return inside.unionByName(resolve_imports(entities, imports)).distinct()
+    """(src, dst): calls resolved in the file or through imports, and texts written as an id that nothing resolves."""
+    across = resolve_calls(entities, imports)
+    inside = resolve_in_file(entities).where(F.col("target").contains("::")).select(F.col("id").alias("src"), "call", F.col("target").alias("dst"))
+    settled = across.select("src", "call").distinct()
+    raw = inside.where("call = dst").join(settled, ["src", "call"], "left_anti")
+    return inside.where("call <> dst").unionByName(raw).unionByName(across).select("src", "dst").distinct()

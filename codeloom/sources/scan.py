@@ -175,6 +175,7 @@ def scan(path: str, text: str, language: str | None = None, calls: bool = False)
     for line in lines:
         breaks.append(breaks[-1] + len(line) + 1)
     out, row = [], 0
+    named = {text.find(d["name"], d["at"]) for d in found}
     for d in sorted(found, key=lambda d: d["at"]):
         while breaks[row + 1] <= d["at"]:
             row += 1
@@ -205,17 +206,26 @@ def scan(path: str, text: str, language: str | None = None, calls: bool = False)
             "code": text[start : d["end"]],
         }
         if calls:
-            entity["calls"] = called(text[d["at"] + len(d["name"]) : d["end"]] if not is_class else text[d["at"] : d["end"]], language)
+            entity["calls"] = called(text, d["at"], d["end"], language, named)
         out.append(entity)
     return out
 
 
-def called(code: str, language: str) -> list[str]:
-    """The callee texts in a piece of code, in order, each once; a leading ``this.`` is dropped."""
-    names = (re.sub(r"\s", "", m["c"]) for m in _CALL[language].finditer(code) if m["c"])
-    names = (n.removeprefix("this.") if language in ("javascript", "typescript") else n for n in names)
-    declared = set(re.findall(r"\b(?:def|fn|func|function)\s+(\w+)", code))
-    return [n for n in dict.fromkeys(names) if n.split(".")[0] not in _NOT_CALLS and n not in declared]
+def called(text: str, start: int, end: int, language: str, named: set[int]) -> list[str]:
+    """The callee texts between two places, in order, each once; ``named`` are the places of declared names.
+
+    A leading ``this.`` is dropped. Names that are declared there, keywords and nested declarations aren't calls.
+    """
+    out = {}
+    for m in _CALL[language].finditer(text, start, end):
+        if not m["c"] or m.start("c") in named or re.search(r"\b(?:def|fn|func|function|class|new)\s+$", text[max(0, m.start() - 20) : m.start()]):
+            continue
+        name = re.sub(r"\s", "", m["c"])
+        if language in ("javascript", "typescript"):
+            name = name.removeprefix("this.")
+        if name.split(".")[0] not in _NOT_CALLS:
+            out[name] = None
+    return list(out)
 
 
 def _attributes(above: list[str]) -> list[str]:
