@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.operators import resolve, store
 from codeloom.plans.base import CURRENT, query
 from codeloom.plans.graph_queries import FILE
+from codeloom.session import materialize
 from codeloom.sources import trees
 from codeloom.sources.tables import current_edges, current_entities, load
 from codeloom.streaming import jobs
@@ -58,14 +59,16 @@ def extract_imports(spark: SparkSession, d: str) -> DataFrame:
 def resolve_imports(spark: SparkSession, d: str) -> DataFrame:
     """Edges between files that imports give, from the texts alone."""
     files = load(spark, d, "source_files")
-    return resolve.resolve_imports(trees.extract_entities(files), trees.extract_imports(files))
+    entities, imports = materialize(trees.extract_entities(files)), materialize(trees.extract_imports(files))
+    return resolve.resolve_imports(entities, imports)
 
 
 @query()
 def index_edges(spark: SparkSession, d: str) -> DataFrame:
     """All edges that indexing the files gives."""
     files = load(spark, d, "source_files")
-    return resolve.call_edges(trees.extract_entities(files), trees.extract_imports(files))
+    entities, imports = materialize(trees.extract_entities(files)), materialize(trees.extract_imports(files))
+    return resolve.call_edges(entities, imports)
 
 
 @query(
