@@ -1,8 +1,7 @@
 """Streams over the action log and over file events.
 
-Deliveries repeat and come late. Repetitions are dropped by id while the watermark on the arrival time keeps
-the id; a state older than the watermark leaves the state store, so it doesn't grow with the stream. For
-state beyond an executor's memory set spark.sql.streaming.stateStore.providerClass to the RocksDB provider.
+Deliveries repeat and come late. One watermark on the time of the action bounds all state: ids by which
+repetitions are dropped, and open windows, leave the state store once it has passed them. For state beyond an executor's memory set spark.sql.streaming.stateStore.providerClass to the RocksDB provider.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from codeloom.operators.store import GraphStore, delete_files, upsert
 from codeloom.session import scratch_dir
 from codeloom.sources.trees import extract_entities, extract_imports, is_source_file
 
-REPEATS_WITHIN = "30 days"
+LATE = "30 days"
 DEBOUNCE = "500 milliseconds"
 
 
@@ -28,7 +27,7 @@ def action_stream(spark: SparkSession, path: str, files_per_trigger: int = 100)
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"  # a pattern may name a single file, a plain path must be a folder
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(pattern)
-    rows = rows.withColumn("arrived", F.col("logged_at").cast("timestamp")).withWatermark("arrived", REPEATS_WITHIN)
+    rows = rows.withColumn("event_at", F.coalesce("ts", "logged_at").cast("timestamp")).withWatermark("event_at", LATE)
     rows = rows.dropDuplicatesWithinWatermark(["id"])
     return rows.withColumns({"action_type": clean_action(F.col("action_type")), "file_path": clean_path(F.col("file_path"))})
 
@@ -39,12 +38,11 @@ def file_counters(stream: DataFrame) -> DataFrame:
     return named.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_accesses"), F.max("ts").alias("last_accessed"))
 
 
-def window_counts(stream: DataFrame, width: str = "1 day", slide: str | None = None, late: str | None = None) -> DataFrame:
-    """(window_start, action_type, n): tumbling, or with ``slide`` sliding, windows of event time; ``late``: how long they stay open."""
-    if late:
-        stream = stream.withWatermark("ts", late)
-    window = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return stream.groupBy(window.alias("w"), "action_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), "action_type", "n")
+def window_counts(stream: DataFrame, width: str = "1 day", slide: str | None = None) -> DataFrame:
+    """(window_start, action_type, n): tumbling, or with ``slide`` sliding, windows of event time."""
+    window = F.window("event_at", width, slide) if slide else F.window("event_at", width)
+    counts = stream.groupBy(window.alias("w"), "action_type").agg(F.count(F.lit(1)).alias("n"))
+    return counts.select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "action_type", "n")
 
 
 def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
@@ -79,6 +77,17 @@ def log_sink(stream: DataFrame, log: str, errors: str, checkpoint: str) -> Strea
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def file_events(spark: SparkSession, path: str) -> DataFrame:
+    """File events landed as JSON lines (file_path, exists, at), as a stream."""
+    return spark.readStream.schema("file_path string, exists boolean, at timestamp_ntz").json(path)
+
+
+def session_counts(stream: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """(session_id, started, ended, n): bursts of a session's actions with no pause of ``gap``."""
+    burst = stream.groupBy(F.session_window("event_at", gap).alias("w"), "session_id")
+    return burst.agg(F.count(F.lit(1)).alias("n")).select("session_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
+
+
 def debounced(events: DataFrame) -> DataFrame:
     """(file_path, kind, at): of the events (file_path, exists, at) of each source file within DEBOUNCE the last one.
 
