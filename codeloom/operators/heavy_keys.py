@@ -6,6 +6,8 @@ are split across partitions; one partial state per key and partition; stitch the
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,6 +79,6 @@ def heavy_keys(counts: DataFrame, share: float = 0.02) -> DataFrame:
     totals = counts.groupBy("ref_field").agg(F.sum("n_refs").alias("total"))
     return (
         counts.join(F.broadcast(totals), "ref_field")  # one row a field
-        .where(F.col("ref_key").isNotNull() & (F.col("n_refs") > 0) & (F.col("n_refs") >= F.col("total") * share))
+        .where(F.col("ref_key").isNotNull() & (F.col("n_refs") > 0) & (F.col("n_refs") >= F.col("total") * F.lit(Decimal(str(share)))))
         .select("ref_field", "ref_key", "n_refs", "total")
     )

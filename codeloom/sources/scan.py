@@ -20,15 +20,16 @@ EXTENSIONS = {
 LANGUAGE_OF = {e: lang for lang, es in EXTENSIONS.items() for e in es}
 
 _STRINGS = r'"(?:\\.|[^"\\\n])*"'
-_C_COMMENT = r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/"
+#: An unclosed comment reaches to the end, so that it is looked through once.
+_C_COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
 _TOKENS = {
     "python": re.compile(
-        r"(?P<skip>(?:\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?''')|" + _STRINGS + r"|'(?:\\.|[^'\\\n])*'|#[^\n]*)"
+        r"(?P<skip>(?:\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\.|[^\\])*?(?:'''|\Z))|" + _STRINGS + r"|'(?:\\.|[^'\\\n])*'|#[^\n]*)"
         r"|^(?P<indent>[ \t]*)(?:async[ \t]+)?(?P<kind>def|class)[ \t]+(?P<name>\w+)",
         re.M | re.S,
     ),
     "rust": re.compile(
-        r"(?P<skip>" + _C_COMMENT + r"|b?r(#*)\".*?\"\2|b?\"(?:\\.|[^\"\\])*\"|'(?:\\[^\n']+|[^'\\\n])')"
+        r"(?P<skip>" + _C_COMMENT + r"|b?r(#*)\".*?(?:\"\2|\Z)|b?\"(?:\\.|[^\"\\])*\"|'(?:\\[^\n']+|[^'\\\n])')"
         r"|\b(?P<owner>impl|trait)\b(?P<head>[^;{]*)\{|\bfn\s+(?P<name>\w+)|(?P<brace>[{};])",
         re.S,
     ),
@@ -50,7 +51,7 @@ _TOKENS = {
 _TOKENS["javascript"] = _TOKENS["typescript"] = _TOKENS["js"]
 _NOT_METHODS = frozenset("if for while switch catch return function with do else new typeof await throw super".split())
 _CALL = {
-    "python": re.compile(r"(?:\"\"\"(?:\\.|[^\\])*?\"\"\"|'''(?:\\.|[^\\])*?''')|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|#[^\n]*|(?<![\w.])(?P<c>[A-Za-z_]\w*(?:\s*\.\s*\w+)*)\s*\(", re.S),
+    "python": re.compile(r"(?:\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\.|[^\\])*?(?:'''|\Z))|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|#[^\n]*|(?<![\w.])(?P<c>[A-Za-z_]\w*(?:\s*\.\s*\w+)*)\s*\(", re.S),
     "rust": re.compile(_C_COMMENT + r"|\"(?:\\.|[^\"\\])*\"|(?<![\w.:])(?P<c>[A-Za-z_]\w*(?:(?:\.|::)\w+)*)(?:::<[^()]*?>)?\s*\(", re.S),
     "js": re.compile(_C_COMMENT + r"|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|(?<![\w.$])(?P<c>[A-Za-z_$][\w$]*(?:\??\.[\w$]+)*)\s*\(", re.S),
 }
