@@ -1,8 +1,8 @@
 """Template residue, filler, error pages and script notices in place of content (problem 9).
 
 Method: the segments of all texts (sentences and lines, code and quotations put aside) are reduced to
-skeletons: what may differ between records of one template becomes a slot. Records with the same skeleton
-are aligned by it, which shows the slots; a slot that keeps a variable's name, a default or a blank is
+skeletons. A slot that keeps a template's own marks is residue. Records of one template are aligned by the frame
+around a value, which shows the slots without marks; one that keeps a variable's name, a default or a blank is
 residue. A page whose whole text, without navigation, is a skeleton met in many documents and worded as an error
 or a notice is an error page.
 """
@@ -10,6 +10,7 @@ or a notice is an error page.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,6 +83,18 @@ _CHROME = re.compile(
 _MASK = re.compile(r"\b(?=\w*\d)[0-9a-f]{6,}\b|\d+(?:[.,:]\d+)*", re.I)
 _ANY_WORD = re.compile(r"[^\W\d_]+")
 
+#: Values that nobody filled in, without a mark around them: a variable's name or a default of a template.
+UNFILLED = re.compile(
+    r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+|(?:[a-z]+_)+(?:name|version|date|team|owner|url|e?mail|id|title|author|release|project|user|company)|(?:your|my)_[a-z_]+"
+    r"|TODO|TBD|TBA|FIXME|(?i:changeme|placeholder|untitled|unnamed|undefined|unset)"
+)
+#: What a line needs for such a value, or for a gap before a mark.
+_MAY_HOLD = re.compile(r"_|\s[,.;](?:\s|$)|TODO|TBD|TBA|FIXME|(?i:changeme|placeholder|unnamed|un(?:title|define|se))")
+_PIECE = re.compile(r"\w+|[^\w\s]")
+_LABEL = re.compile(r"\s*(?:[-*#>]+\s*)?[^\W\d][^:\n]{0,40}:")
+#: The longest value in tokens, and the size of the bit maps that the values' frames are first looked up in.
+VALUE, BITS = 6, 1 << 20
+
 
 #: Each pattern above needs one of these; a text, or a segment, without any of them is ordinary.
 _TRIGGERS = tuple(
@@ -166,6 +179,116 @@ def describe(segment: str, hits: list[str] | tuple[str, ...] = _TRIGGERS) -> tup
     return "text", skeleton, 0
 
 
+def _pieces(segment: str) -> tuple[list[str], list[str], bytes, list[int]]:
+    """Tokens, the same in lower case without numbers, these joined, and where each begins."""
+    tokens = _PIECE.findall(segment)
+    same = ["#" if t[0].isdigit() else t.lower() for t in tokens]
+    at, joined = [0], b""
+    for t in same:
+        joined += t.encode("utf-8", "replace") + b" "
+        at.append(len(joined))
+    return tokens, same, joined, at
+
+
+def _frame(before: int, after: bytes, end: bool) -> int:
+    return (before << 31) ^ zlib.crc32(after + (b"\n" if end else b""))
+
+
+def unfilled_values(text: str) -> set[tuple[int, int, str]]:
+    """(before, frame, value) of the values without marks that may be left open: names, defaults and blanks.
+
+    A frame is the segment up to the value and from it on to its end, or to the next open value. It needs a
+    label or three words. A blank is the end of a label without a value in the next line, or a gap before a mark.
+    """
+    prose = _CODE.sub("¤", text.replace("\r\n", "\n").replace("\r", "\n"))
+    lines = prose.split("\n")
+    out = set()
+    for k, line in enumerate(lines):
+        blank_end = line.rstrip()[-1:] == ":" and bool(_LABEL.fullmatch(line.rstrip()))
+        if blank_end and k + 1 < len(lines) and lines[k + 1].strip() and not _LABEL.match(lines[k + 1]):
+            blank_end = False
+        if not (blank_end or _MAY_HOLD.search(line)):
+            continue
+        for segment in (x.strip() for x in _BREAK.split(line)):
+            bare = re.sub(r"(?<=\w)[ \t]+(?=[,.;](?:\s|$))", " \u0002 ", _QUOTED.sub("¤", segment))
+            cased = any(c.islower() for c in bare)
+            # part of a path, a call or an expression is no value
+            alone = lambda m: not re.match(r"[\w/:.\\(\[{<$%@'\"-]", bare[m.start() - 1 : m.start()]) and re.match(r"[,.;:!?)]*(?:\s|$)", bare[m.end() :])
+            pieces = list(_PIECE.finditer(bare))
+            tokens = [m.group() for m in pieces]
+            open_at = {i for i, m in enumerate(pieces) if tokens[i] == "\u0002" or cased and UNFILLED.fullmatch(tokens[i]) and (i or "_" in tokens[i]) and alone(m)}
+            open_at |= {len(tokens)} if blank_end else set()
+            tokens = tokens + ["\u0002"] if blank_end and segment and line.rstrip().endswith(segment) else tokens
+            holes = [i for i in sorted(open_at) if i < len(tokens)]
+            for n, i in enumerate(holes):
+                end = holes[n + 1] if n + 1 < len(holes) else len(tokens)
+                before, after = tokens[:i], tokens[i + 1 : end]
+                if n or not (before and before[-1] in (":", "=") or sum(t[0].isalpha() for t in before + after) >= 3) or not before and end < len(tokens):
+                    continue
+                left = zlib.crc32(_pieces(" ".join(before))[2])
+                out.add((left, _frame(left, _pieces(" ".join(after))[2], end == len(tokens)), tokens[i].strip("\u0002").lower()))
+    return out
+
+
+def values_in_frames(text: str, befores: bytes, frames: bytes) -> set[tuple[int, str]]:
+    """(frame, value) for the frames in the maps that the text's segments fill with a value of their own."""
+    out = set()
+    for segment in segments(text):
+        tokens, same, joined, at = _pieces(_QUOTED.sub("¤", segment))
+        n, left = len(tokens), 0
+        for i in range(n):
+            if i:
+                left = zlib.crc32(joined[at[i - 1] : at[i]], left)
+            if not befores[left % BITS]:
+                continue
+            for j in range(i + 1, min(n, i + VALUE) + 1):
+                if same[j - 1] in (";", ":", "¤"):
+                    break
+                ends = range(j + 1, n) if i else ()
+                for key in [_frame(left, joined[at[j] :], True), *(_frame(left, joined[at[j] : at[e]], False) for e in ends)]:
+                    if frames[key % BITS]:
+                        value = " ".join(tokens[i:j])
+                        if any(t[0].isalnum() for t in tokens[i:j]) and not any(UNFILLED.fullmatch(t) for t in tokens[i:j]):
+                            out.add((key, value.lower()))
+    return out
+
+
+def unfilled_slots(documents: DataFrame) -> DataFrame:
+    """(doc_id, frame): documents with a name, default or blank where other records of the template have values of their own.
+
+    Records are aligned by the frame around a possible value. The position is a slot if it varies: two values
+    or more elsewhere, and more than twice as many as there are different names in it.
+    """
+    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+    def open_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d, *x) for d, t in zip(*(batch.column(i).to_pylist() for i in range(2))) if d is not None and t for x in unfilled_values(t)]
+            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "before", "frame", "value"])
+
+    held = materialize(source.mapInArrow(open_values, "doc_id long, before long, frame long, value string"))
+
+    def bits(column: str) -> bytes:
+        out = bytearray(BITS)
+        for (k,) in held.select((F.col(column) % BITS).cast("int")).distinct().collect():  # at most BITS rows
+            out[k] = 1
+        return bytes(out)
+
+    befores, frames = bits("before"), bits("frame")
+
+    def own_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = sorted({x for t in batch.column(1).to_pylist() if t for x in values_in_frames(t, befores, frames)})
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string()))], ["frame", "value"])
+
+    names = held.groupBy("frame").agg(F.count_distinct("value").alias("names"))
+    values = source.mapInArrow(own_values, "frame long, value string").join(names.select("frame"), "frame", "left_semi")
+    slots = values.distinct().groupBy("frame").agg(F.count(F.lit(1)).alias("values")).join(names, "frame")
+    slots = slots.where("values >= 2 and values > 2 * names").select("frame")
+    return held.join(slots, "frame", "left_semi").select("doc_id", "frame").distinct()
+
+
 _SCHEMA = "doc_id long, kind string, skeleton string, n_slots int, n int, n_text int, page string"
 
 
@@ -207,7 +330,11 @@ def residue(documents: DataFrame) -> DataFrame:
     Null and empty texts, and empty tables, give no rows; a repeated document is one row; extra columns are
     ignored.
     """
-    found = materialize(text_segments(documents))
+    unmarked = unfilled_slots(documents).select(
+        "doc_id", F.lit("slot").alias("kind"), F.concat(F.lit("frame "), F.col("frame")).alias("skeleton"), F.lit(1).alias("n_slots"),
+        F.lit(1).alias("n"), F.lit(0).alias("n_text"), F.lit("").alias("page"),
+    )
+    found = materialize(text_segments(documents).unionByName(unmarked))
     aligned = found.groupBy("skeleton").agg(F.count_distinct("doc_id").alias("docs"))
     pages = found.where("kind in ('error', 'script')").select("doc_id", "page").distinct().groupBy("page").agg(F.count(F.lit(1)).alias("page_docs"))
     per_doc = (

@@ -69,3 +69,12 @@ def test_aligned_templates(spark):
 def test_errors_in_a_text_with_content_are_no_page(spark):
     df = spark.createDataFrame([(1, BODY + " " + BODY + "\nAccess denied.\n" + BODY)], "doc_id long, text string")
     assert residue.residue(df).count() == 0
+
+
+def test_values_without_marks_are_aligned(spark):
+    people = ["Ann Lee", "Bob", "Carl Ort", "Dora"]
+    rows = [(n, f"{BODY}\nMaintainer: {p}\nRelease: {n}.x\n\nThis part is kept by {p} for the readers.") for n, p in enumerate(people)]
+    rows += [(10, rows[0][1].replace("Maintainer: Ann Lee", "Maintainer: OWNER_NAME")), (11, rows[1][1].replace("Release: 1.x", "Release: "))]
+    rows += [(12, rows[2][1].replace("kept by Carl Ort for", "kept by team_name for")), (13, "Set MAX_ROWS to 5.\nSteps:\nRun it.")]
+    got = {r["doc_id"]: r["kinds"] for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {10: ["slot"], 11: ["slot"], 12: ["slot"]}
