@@ -21,6 +21,8 @@ from codeloom.operators.graph import components
 from codeloom.session import materialize
 
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 32, 8, 0.8
+#: Of the unmasked texts: hashes, and rows of a band.
+TEXT_HASHES, TEXT_ROWS = 64, 4
 
 #: Folders and file names that tools and package managers use.
 VENDORED_PATH = (
@@ -61,15 +63,46 @@ _KEEP = frozenset(
 _ROW = re.compile(r"\s*[\w.+-]+(?:(?:[,;\t|][^\n,;\t|(){}=]*){2,})?\s*$")
 
 _SCHEMA = (
-    "file_path string, repo string, shape string, text_key string, shingles array<long>, signature array<long>, n_tokens int,"
+    "file_path string, repo string, shape string, text_key string, shingles array<long>, signature array<long>, text_bands array<long>, n_tokens int,"
     " n_shapes int, marked string, notice string, minified boolean, literal boolean"
 )
 
 
+def text_key(code: str) -> str | None:
+    """Of the tokens of a text without comments; null if there are none."""
+    tokens = _TOKEN.findall(code)
+    return hashlib.md5(" ".join(tokens).encode()).hexdigest() if tokens else None
+
+
 def _hashed(items: list[str]) -> np.ndarray:
     return np.fromiter((int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") >> 2 for x in items), np.int64, len(items))
 
 
+def text_shingles(content: str) -> np.ndarray:
+    """Hashes of the unmasked token shingles of a text, comments aside; of a shorter text one of all its tokens."""
+    tokens = _TOKEN.findall(_PARTS.sub(lambda m: m["s"] or " ", content.replace("\r\n", "\n")))
+    if not tokens:
+        return np.zeros(0, np.int64)
+    kinds = sorted(set(tokens))
+    of = dict(zip(kinds, _hashed(kinds).astype(np.uint64)))
+    hashes = np.array([of[t] for t in tokens], np.uint64)
+    n = max(1, len(hashes) - SHINGLE + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(SHINGLE, len(hashes))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
+    return np.unique((out >> np.uint64(2)).astype(np.int64))
+
+
+def _bands(signature: np.ndarray) -> list[int]:
+    """A hash of each TEXT_ROWS values of a signature."""
+    return [int(x) for x in _hashed([f"{i} {signature[i : i + TEXT_ROWS].tobytes().hex()}" for i in range(0, len(signature), TEXT_ROWS)])]
+
+
+def _minhash(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    low = ((hashes ^ (hashes >> 31)) & 0x7FFFFFFF).astype(np.uint64)
+    return ((low[:, None] * a + b) % np.uint64(2147483647)).min(axis=0).astype(np.int64) if len(low) else np.zeros(0, np.int64)
+
+
 def file_profile(path: str, content: str, a: np.ndarray, b: np.ndarray) -> dict:
     """What one file tells by itself: masked shingles and their MinHash, notices, and the shape of its text."""
     text = content.replace("\r\n", "\n")
@@ -112,7 +145,8 @@ def file_profile(path: str, content: str, a: np.ndarray, b: np.ndarray) -> dict:
     )
     return {
         "shape": hashlib.md5(hashes.tobytes()).hexdigest() if len(hashes) else None,
-        "text_key": hashlib.md5(" ".join(_TOKEN.findall(code)).encode()).hexdigest() if len(tokens) >= 30 else None,
+        "text_key": text_key(code),
+        "text_bands": _bands(_minhash(text_shingles(content), a[:TEXT_HASHES], b[:TEXT_HASHES])),
         "shingles": hashes.tolist(),
         "signature": signature.tolist(),
         "n_tokens": len(tokens),
@@ -131,7 +165,7 @@ def profiles(source_files: DataFrame) -> DataFrame:
     b = rng.integers(0, 2147483646, BANDS * ROWS).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"shingles": pa.list_(pa.int64()), "signature": pa.list_(pa.int64()), "n_tokens": pa.int32(), "n_shapes": pa.int32(), "minified": pa.bool_(), "literal": pa.bool_()}
+        kinds = {"shingles": pa.list_(pa.int64()), "signature": pa.list_(pa.int64()), "text_bands": pa.list_(pa.int64()), "n_tokens": pa.int32(), "n_shapes": pa.int32(), "minified": pa.bool_(), "literal": pa.bool_()}
         names = [f.split()[0] for f in _SCHEMA.split(", ")]
         for batch in batches:
             rows = [
@@ -184,6 +218,43 @@ def shape_clusters(files: DataFrame) -> DataFrame:
     return joined.unionByName(alone.join(joined.select("shape"), "shape", "left_anti"))
 
 
+def copied_texts(source_files: DataFrame, files: DataFrame) -> DataFrame:
+    """(text_key): texts of clusters that reach over several repositories.
+
+    Texts that share a band of their unmasked MinHash with one of another repository are read again, and
+    clustered by the exact similarity of their unmasked shingles. Equal texts are one text.
+    """
+    texts = files.where("text_key is not null").select("file_path", "repo", F.coalesce("repo", F.lit("")).alias("r"), "text_key", "text_bands")
+    texts = materialize(texts)
+    equal = texts.groupBy("text_key").agg(F.min("r").alias("low"), F.max("r").alias("high"))
+    of_bands = texts.select("text_key", "r", F.posexplode("text_bands").alias("band", "bucket"))
+    shared = of_bands.groupBy("band", "bucket").agg(F.min("r").alias("l"), F.max("r").alias("h"), F.min("text_key").alias("k"), F.max("text_key").alias("m"))
+    near = of_bands.join(shared.where("l <> h and k <> m").select("band", "bucket"), ["band", "bucket"], "left_semi").select("text_key").distinct()
+    one = texts.join(near, "text_key", "left_semi").groupBy("text_key").agg(F.min(F.struct("file_path", "r")).alias("one")).select("text_key", "one.*")
+
+    rng = np.random.default_rng(6)
+    a = rng.integers(1, 2147483646, BANDS * ROWS).astype(np.uint64)
+    b = rng.integers(0, 2147483646, BANDS * ROWS).astype(np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long = pa.list_(pa.int64())
+        for batch in batches:
+            keys, sets, signatures = [], [], []
+            for content in batch.column(0).to_pylist():
+                text = (content or "").replace("\r\n", "\n")
+                keys.append(text_key(_PARTS.sub(lambda m: m["s"] or " ", text)))
+                sets.append(text_shingles(text))
+                signatures.append(_minhash(sets[-1], a, b).tolist())
+            cols = [pa.array(keys, pa.string()), pa.array([x.tolist() for x in sets], long), pa.array(signatures, long), pa.array([len(x) for x in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, ["shape", "shingles", "signature", "n_shapes"])
+
+    again = source_files.select("file_path", F.coalesce("repo", F.lit("")).alias("r"), "content").join(one.select("file_path", "r"), ["file_path", "r"], "left_semi")
+    sets = materialize(again.select("content").mapInArrow(run, "shape string, shingles array<long>, signature array<long>, n_shapes int"))
+    clusters = shape_clusters(sets).withColumnRenamed("shape", "text_key").join(equal, "text_key")
+    wide = clusters.groupBy("cluster").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("cluster")
+    return clusters.join(wide, "cluster", "left_semi").select("text_key").unionByName(equal.where("low <> high").select("text_key")).distinct()
+
+
 def classify(source_files: DataFrame) -> DataFrame:
     """(file_path, repo, cluster, kind): kind is generated, minified, vendored, data or null (hand-written).
 
@@ -204,13 +275,7 @@ def classify(source_files: DataFrame) -> DataFrame:
     )
     # of a family most members repeat one template; a family in one repository or a marked member settles it
     family = family.where((F.col("t") >= 0.8 * F.col("n")) & ((F.col("n") >= 2) | (F.col("k") > 0))).select("cluster", F.lit(True).alias("family"))
-    copies = (
-        files.where("text_key is not null")
-        .groupBy("text_key")
-        .agg(F.count_distinct(F.coalesce("repo", F.lit(""))).alias("repos"))
-        .where("repos > 1")
-        .select("text_key", F.lit(True).alias("copied"))
-    )
+    copies = copied_texts(source_files, files).withColumn("copied", F.lit(True))
     single = template & (repeats >= 10)
     kind = (
         F.when((F.col("marked") == "vendored") | (F.col("notice") == "vendored"), "vendored")

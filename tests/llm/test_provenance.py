@@ -94,3 +94,10 @@ def test_clusters_hold_together_and_miss_little(spark):
         root[find(x)] = find(y)
     assert all(find(k) == find(c) for k, c in got.items())
     assert sum(got[x] == got[y] for x, y in similar) >= 0.97 * len(similar) > 100
+
+
+def test_near_and_short_copies_between_repositories(spark):
+    long = "".join(HAND.replace("read", f"read{i}").replace("rows", f"rows{i}") for i in range(8))
+    rows = [("a/x.py", "r1", long), ("b/x.py", "r2", long.replace("rows3", "lines")), ("c/x.py", "r1", HAND)]
+    rows += [("a/s.py", "r1", "LIMIT = grow(3, by=tables)\n"), ("b/s.py", "r2", "LIMIT = grow(3, by=tables)\n"), ("c/s.py", "r2", "LIMIT = grow(4, by=rows)\n")]
+    assert kinds(spark, rows) == {"a/x.py": "vendored", "b/x.py": "vendored", "c/x.py": None, "a/s.py": "vendored", "b/s.py": "vendored", "c/s.py": None}
