@@ -61,6 +61,8 @@ _KEEP = frozenset(
     "def return if for in import from class fn let pub use impl func package var const export function async None null nil true false struct mod self this else while match static not is range new throw".split()
 )
 _ROW = re.compile(r"\s*[\w.+-]+(?:(?:[,;\t|][^\n,;\t|(){}=]*){2,})?\s*$")
+#: What a doc comment stands above.
+_DECLARED = re.compile(r"\s*(?:@\w|#\[|(?:export|default|pub(?:\([^)]*\))?|async|abstract|static|unsafe|extern|declare)\s|(?:def|class|fn|func|function|type|struct|enum|impl|trait|interface|const|let|var|mod|macro_rules)\b)")
 
 _SCHEMA = (
     "file_path string, repo string, shape string, text_key string, shingles array<long>, signature array<long>, text_bands array<long>, n_tokens int,"
@@ -103,6 +105,19 @@ def _minhash(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((low[:, None] * a + b) % np.uint64(2147483647)).min(axis=0).astype(np.int64) if len(low) else np.zeros(0, np.int64)
 
 
+def _stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether a comment begins a line without indentation and documents no declaration below its block."""
+    if text[start] in " \t" or start and text[start - 1] != "\n":
+        return False
+    while True:
+        stop = text.find("\n", end)
+        if stop < 0:
+            return True
+        line = text[stop + 1 : end] if (end := text.find("\n", stop + 1)) >= 0 else text[stop + 1 :]
+        if end < 0 or not line.lstrip().startswith(("//", "/*", "*", "# ", "#!")) and line.strip() != "#":
+            return not _DECLARED.match(line)
+
+
 def file_profile(path: str, content: str, a: np.ndarray, b: np.ndarray) -> dict:
     """What one file tells by itself: masked shingles and their MinHash, notices, and the shape of its text."""
     text = content.replace("\r\n", "\n")
@@ -118,11 +133,15 @@ def file_profile(path: str, content: str, a: np.ndarray, b: np.ndarray) -> dict:
     signature = ((low[:, None] * a + b) % np.uint64(2147483647)).min(axis=0).astype(np.int64) if len(low) else np.zeros(0, np.int64)
     notice = ""
     n_lines = text.count("\n") + 1
+    at = seen = 0
     for m in _PARTS.finditer(text):
         if not m["c"]:
             continue
-        at = text.count("\n", 0, m.start())
-        for line in m.group().split("\n") if at < 15 or at > n_lines - 8 else ():
+        at, seen = at + text.count("\n", seen, m.start()), m.start()
+        near_end = at < 15 or at > n_lines - 8
+        if not (near_end or GENERATED_NOTICE.search(m.group()) or VENDORED_NOTICE.search(m.group())) or not near_end and not _stands_alone(text, m.start(), m.end()):
+            continue
+        for line in m.group().split("\n"):
             if BY_HAND.search(line):
                 continue
             if GENERATED_NOTICE.search(line):

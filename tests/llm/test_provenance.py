@@ -101,3 +101,15 @@ def test_near_and_short_copies_between_repositories(spark):
     rows = [("a/x.py", "r1", long), ("b/x.py", "r2", long.replace("rows3", "lines")), ("c/x.py", "r1", HAND)]
     rows += [("a/s.py", "r1", "LIMIT = grow(3, by=tables)\n"), ("b/s.py", "r2", "LIMIT = grow(3, by=tables)\n"), ("c/s.py", "r2", "LIMIT = grow(4, by=rows)\n")]
     assert kinds(spark, rows) == {"a/x.py": "vendored", "b/x.py": "vendored", "c/x.py": None, "a/s.py": "vendored", "b/s.py": "vendored", "c/s.py": None}
+
+
+def test_notices_below_long_headers(spark):
+    header = "".join(f"# licence line {i}\n" for i in range(20))
+    more = HAND.replace("read", "load") + "\n\nclass Rows:\n    pass\n" + HAND.replace("import os", "")
+    rows = [
+        ("src/late.py", "r", header + "\n# Code generated by tool. DO NOT EDIT.\n\n" + more),
+        ("src/taken.rs", "r", "use a::b;\n" * 30 + "\n// Vendored from lib, tag v1.2\n\nfn f(x: u32) -> u32 {\n    x\n}\n" + "fn g() {}\n\n" * 8),
+        ("src/doc.py", "r", header + "import os\n\n# This code is generated by the tool.\ndef f(a):\n    return a\n\n\n" + more),
+        ("src/inner.py", "r", header + "def g(a):\n    # was generated by the tool\n    return [a]\n\n\n" + more),
+    ]
+    assert kinds(spark, rows) == {"src/late.py": "generated", "src/taken.rs": "vendored", "src/doc.py": None, "src/inner.py": None}
