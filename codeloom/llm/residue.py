@@ -289,7 +289,24 @@ def unfilled_slots(documents: DataFrame) -> DataFrame:
     return held.join(slots, "frame", "left_semi").select("doc_id", "frame").distinct()
 
 
-_SCHEMA = "doc_id long, kind string, skeleton string, n_slots int, n int, n_text int, page string"
+def page_passages(text: str, hits: list[str]) -> int:
+    """Lines of four words or more that are an error or notice as a whole, and runs of page segments with one in it."""
+    prose = _CODE.sub("¤", text.replace("\r\n", "\n").replace("\r", "\n"))
+    found, run = 0, []
+    for line in [*prose.split("\n"), ""]:
+        kinds = [describe(x.strip(), hits)[0] for x in _BREAK.split(line) if x.strip()]
+        if kinds and set(kinds) <= {"error", "script", "chrome", "title"} and {"error", "script"} & set(kinds):
+            found += len(_ANY_WORD.findall(line)) >= 4 and not re.match(r"\s*(?:[-*+>]|\d+[.)])\s", line)
+        for kind in [*kinds, ""] if line.strip() else [""]:
+            if kind in ("error", "script", "chrome"):
+                run.append(kind)
+            else:
+                found += len(run) >= 2 and bool({"error", "script"} & set(run))
+                run = []
+    return found
+
+
+_SCHEMA = "doc_id long, kind string, skeleton string, n_slots int, n int, n_text int, page string, n_passages int"
 
 
 def text_segments(documents: DataFrame) -> DataFrame:
@@ -313,8 +330,9 @@ def text_segments(documents: DataFrame) -> DataFrame:
                     if kind not in ("text", "chrome", "title"):
                         told[kind, skeleton, n] = told.get((kind, skeleton, n), 0) + 1
                 page = " / ".join(sorted({s for k, s, _ in told}))
-                out += [(doc, k, s, n, c, ordinary, page) for (k, s, n), c in told.items()]
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                passages = page_passages(text, hits) if ordinary and any(k in ("error", "script") for k, _, _ in told) else 0
+                out += [(doc, k, s, n, c, ordinary, page, passages) for (k, s, n), c in told.items()]
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [f.split()[0] for f in _SCHEMA.split(", ")])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
@@ -326,13 +344,14 @@ def residue(documents: DataFrame) -> DataFrame:
     ``kinds``: which of slot, filler, error, script. ``template_docs``: the documents that share the most common
     skeleton among its residue. A filled template (code and quotations aside) has no open slot and isn't
     residue. An error or notice counts if it is the page: at most as many ordinary segments beside it as
-    segments of its kind, or twice as many where its whole page skeleton is met in three documents or more.
+    segments of its kind, or twice as many where its whole page skeleton is met in three documents or more. In a
+    longer text it counts as a passage: see page_passages. A bare status such as 'Access denied.' is none.
     Null and empty texts, and empty tables, give no rows; a repeated document is one row; extra columns are
     ignored.
     """
     unmarked = unfilled_slots(documents).select(
         "doc_id", F.lit("slot").alias("kind"), F.concat(F.lit("frame "), F.col("frame")).alias("skeleton"), F.lit(1).alias("n_slots"),
-        F.lit(1).alias("n"), F.lit(0).alias("n_text"), F.lit("").alias("page"),
+        F.lit(1).alias("n"), F.lit(0).alias("n_text"), F.lit("").alias("page"), F.lit(0).alias("n_passages"),
     )
     found = materialize(text_segments(documents).unionByName(unmarked))
     aligned = found.groupBy("skeleton").agg(F.count_distinct("doc_id").alias("docs"))
@@ -344,7 +363,8 @@ def residue(documents: DataFrame) -> DataFrame:
             F.array_sort(F.collect_set("kind")).alias("all_kinds"),
             F.sum(F.col("n_slots") * F.col("n")).alias("n_slots"),
             F.sum(F.when(F.col("kind").isin("error", "script"), F.col("n")).otherwise(0)).alias("n_page"),
-            F.sum(F.when(F.col("kind").isin("slot", "filler"), F.col("n")).otherwise(0)).alias("n_part"),
+            F.max("n_passages").alias("n_passages"),
+            F.sum(F.when(F.col("kind").isin("slot", "filler") | (F.col("n_slots") > 0), F.col("n")).otherwise(0)).alias("n_part"),
             F.max("n_text").alias("n_text"),
             F.max("page").alias("page"),
             F.max("docs").alias("template_docs"),
@@ -354,5 +374,7 @@ def residue(documents: DataFrame) -> DataFrame:
     is_page = (F.col("n_page") > 0) & (
         (F.col("n_text") <= F.col("n_page")) | ((F.col("page_docs") >= 3) & (F.col("n_text") <= 2 * F.col("n_page")))
     )
+    is_page = is_page | (F.col("n_passages") > 0)
     kept = F.filter("all_kinds", lambda k: k.isin("slot", "filler") | is_page)
+    kept = F.when(F.size(kept) > 0, kept).otherwise(F.array(F.lit("slot")))
     return per_doc.where((F.col("n_part") > 0) | is_page).select("doc_id", kept.alias("kinds"), "n_slots", "template_docs")

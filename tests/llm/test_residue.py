@@ -78,3 +78,11 @@ def test_values_without_marks_are_aligned(spark):
     rows += [(12, rows[2][1].replace("kept by Carl Ort for", "kept by team_name for")), (13, "Set MAX_ROWS to 5.\nSteps:\nRun it.")]
     got = {r["doc_id"]: r["kinds"] for r in residue.residue(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {10: ["slot"], 11: ["slot"], 12: ["slot"]}
+
+
+@pytest.mark.parametrize(
+    "passage", ["You need to enable JavaScript to run this app.", "Something went wrong. Please try again later.", "The {{page}} was not found: {{page}} not found"]
+)
+def test_pages_pasted_into_long_texts(spark, passage):
+    df = spark.createDataFrame([(1, f"{BODY} {BODY}\n{passage}\n{BODY}"), (2, BODY)], "doc_id long, text string")
+    assert [r["doc_id"] for r in residue.residue(df).collect()] == [1]
