@@ -10,6 +10,7 @@ or a notice is an error page.
 from __future__ import annotations
 
 import re
+import re._parser as sre  # its module also has the names of the operations
 import zlib
 from collections.abc import Iterator
 
@@ -76,7 +77,9 @@ SCRIPT = re.compile(
     rf"|\bchecking your browser before\b|\byour browser (?:cannot|can't|can not|does not|doesn't|did not|is (?:not able|unable) to|blocks|has)\b.{{0,30}}\b{_SCRIPTS}\b|\b{_SCRIPTS}\b.{{0,40}}\bin your browser\b|\btoo old for this\b"
 )
 #: Statements about scripts and errors, not notices to a reader.
-_TOLD = re.compile(r"(?i)\bwhether\b|\botherwise\b|\bfalls back\b|\bfor \d+ %|\bturns into\b|\breturns? [45]\d\d\b|\banswer(?:s|ed)\b|\bwho saw\b|\bwe (?:replaced|raised|fixed|renamed|removed|added)\b")
+_TOLD = re.compile(r"(?i)\bfalls back\b|\bfor \d+ %|\bturns into\b|\breturns? [45]\d\d\b|\banswer(?:s|ed)\b|\bwho saw\b|\bwe (?:replaced|raised|fixed|renamed|removed|added)\b")
+_HEDGED = re.compile(r"(?i)\bwhether\b|\botherwise\b")
+_ADDRESSED = re.compile(r"(?i)^\W*(?:please\s+)?(?:check|verify|make sure|see|find out|enable|activate|allow|turn|switch)\b|\byour?\b")
 _CHROME = re.compile(
     r"(?i)^\W*(?:use the search|go back to|check the (?:link|address|url)|try again|please try|return to|turn (?:them|it) on|change your browser|reload|open the \w+ again|contact (?:support|the|your)|request id\b|ray\b|reference\b|uh oh|oops|sorry|hmm|loading)\b[^.!?]{0,60}[.!?…]*\W*(?:\([^()]*\))?\W*$|^\W*(?:home|docs?|issues|search|sign in|log ?in|sign up|menu|about|contact|terms|privacy|status(?: page)?|cookie settings|skip to content|help|blog|pricing|faq|imprint|loading\W*)(?:\s*[|/•·>-]\s*.*)?\W*$|^\W*(?:\(c\)|©|copyright)\b.*$|\ball rights reserved\b"
 )
@@ -96,25 +99,43 @@ _LABEL = re.compile(r"\s*(?:[-*#>]+\s*)?[^\W\d][^:\n]{0,40}:")
 VALUE, BITS = 6, 1 << 20
 
 
-#: Each pattern above needs one of these; a text, or a segment, without any of them is ordinary.
-_TRIGGERS = tuple(
-    (
-        "server |server-|upstream|went wrong|broke and|broke on|broke w| error|\"error|\"code|\"status|\"message|problem|has expired|has ended|timed out|has been|in again|denied|authori|restricted|forbidden|permission|rights|not allowed"
-        "|too many|rate limit|traffic|maintenance|upgrade|be back|not found|n't found|not exist|n't exist|longer|reached|displayed|available|nothing here|nothing at|not find|n't find|bad request"
-        "|bad gateway|gateway time|timeout|required|conflict|gone|implemented|you asked|you requested|you tried|you were|you are|you want|you followed|you need|gesperrt|nicht gefunden|nicht verfügbar|nicht erreichbar|gibt es nicht"
-        "|serverfehler|interner|unerwarteter|fehlercode|zugriff|berechtigung|abgelaufen|es später|no encontrad|no disponible|vuelva|compruebe|código|acceso |sesión ha|permiso"
-        "|javascript|java script|scripting|scripts|<noscript| script |skript| js | js.| js,| js!|browser|navegador|lorem|ipsum|dolor|dummy |example |placeholder |filler |goes here|goes later|belongs|comes here|comes later|will be added|will come|will go|should go|to come here"
-        "|text here|copy here|content here|contents here|summary here|paragraph here|description here|title here|words here|body here|section here|replace this|to fill|swap it|not publish|lines like this|coming soon|construction|to be written|blindtext|zum füllen|hier folgt|hier kommt|hier steht"
-        "|texto de|ocupa espacio|describe |clear description|foo|asdf|qwer|hjkl|blah|xxx|{|<|$|@@|__|%(|[[|[your|[insert|[enter|[add|[replace|[placeholder|[todo|[tbd|[name|[company|[date"
-    ).split("|")
-    + ["sample " + x for x in ("text", "copy", "content", "summary", "paragraph", "description", "title", "body", "section", "word")]
-    + [x + y for x in ("some ", "more ", "your ", "the real ") for y in ("text ", "copy ", "content", "summary ", "paragraph ", "description ")]
-)
+def _required(parsed) -> frozenset[str]:
+    """Lower-case strings of which every match of a parsed pattern has one; empty if there are none."""
+    best, run = frozenset(), ""
+
+    def better(new: frozenset[str]) -> None:
+        nonlocal best
+        if new and (not best or min(map(len, new)) > min(map(len, best))):
+            best = new
+
+    for op, arg in [*parsed, (None, None)]:
+        if op is sre.LITERAL:
+            run += chr(arg).lower()
+            continue
+        better(frozenset([run] if run else []))
+        run = ""
+        if op is sre.BRANCH:
+            parts = [_required(x) for x in arg[1]]
+            better(frozenset().union(*parts) if all(parts) else frozenset())
+        elif op is sre.SUBPATTERN:
+            better(_required(arg[3]))
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
+            single = len(arg[2]) == 1 and arg[2][0][0] is sre.LITERAL
+            better(frozenset([chr(arg[2][0][1]).lower() * arg[0]]) if single else _required(arg[2]))
+        elif op is sre.IN and all(k is sre.LITERAL for k, _ in arg):
+            better(frozenset(chr(c).lower() for _, c in arg))
+    return best
+
+
+#: Derived from the patterns, each of their alternatives apart: every match has one of these.
+_TRIGGERS = tuple(sorted(frozenset().union(*[_required(sre.parse(x.pattern, x.flags)) for x in (SLOT, FILLER, ERROR, _ANSWER, SCRIPT)])))
+#: What matches an ASCII letter where case is ignored, but isn't that letter in lower case.
+_FOLD = str.maketrans({"İ": "i", "ı": "i", "ſ": "s"})
 
 
 def triggers(text: str) -> list[str]:
     """The triggers in a text."""
-    lowered = " " + text.lower().replace("\n", "  ")
+    lowered = text.translate(_FOLD).lower()
     return [t for t in _TRIGGERS if t in lowered]
 
 
@@ -154,8 +175,8 @@ def describe(segment: str, hits: list[str] | tuple[str, ...] = _TRIGGERS) -> tup
 
     ``hits``: the triggers that the whole text has.
     """
-    lowered = f" {segment.lower()} "
-    if not any(t in lowered for t in hits):
+    lowered = segment.translate(_FOLD).lower()
+    if not any(t in lowered for t in hits) and not _lorem(segment):
         if is_navigation(segment):
             return "chrome", "", 0
         short = len(segment) <= 70 and segment[-1:] not in ".!?:;" and segment.count(" ") < 8
@@ -167,7 +188,7 @@ def describe(segment: str, hits: list[str] | tuple[str, ...] = _TRIGGERS) -> tup
         return ("error" if ERROR.search(segment) else "script" if SCRIPT.search(segment) and "noscript" in segment else "slot"), skeleton, len(slots)
     if _lorem(bare) or FILLER.search(bare):
         return "filler", skeleton, 0
-    told = _TOLD.search(bare)
+    told = _TOLD.search(bare) or _HEDGED.search(bare) and not _ADDRESSED.search(bare)
     if not told and SCRIPT.search(bare):
         return "script", skeleton, 0
     if _ANSWER.search(segment) or not told and ERROR.search(bare):
@@ -319,8 +340,6 @@ def text_segments(documents: DataFrame) -> DataFrame:
                 if doc is None or not text:
                     continue
                 hits = triggers(text)
-                if not hits:
-                    continue
                 told: dict[tuple, int] = {}
                 ordinary = titles = 0
                 for s in segments(text):

@@ -86,3 +86,18 @@ def test_values_without_marks_are_aligned(spark):
 def test_pages_pasted_into_long_texts(spark, passage):
     df = spark.createDataFrame([(1, f"{BODY} {BODY}\n{passage}\n{BODY}"), (2, BODY)], "doc_id long, text string")
     assert [r["doc_id"] for r in residue.residue(df).collect()] == [1]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["Oops! Something broke.", "test test test test", "word word word word", "This page requires JS", "Some words will follow.", "Check whether JavaScript is enabled in your browser.", "Thıs page requires javaſcript"],
+)
+def test_no_prefilter_hides_a_match(spark, text):
+    df = spark.createDataFrame([(1, text), (2, BODY)], "doc_id long, text string")
+    assert [r["doc_id"] for r in residue.residue(df).collect()] == [1]
+
+
+def test_each_alternative_has_a_trigger():
+    for pattern in (residue.SLOT, residue.FILLER, residue.ERROR, residue._ANSWER, residue.SCRIPT):
+        parsed = residue.sre.parse(pattern.pattern, pattern.flags)
+        assert residue._required(parsed) and residue._required(parsed) <= set(residue._TRIGGERS)
