@@ -1,9 +1,11 @@
 """Generated, minified, vendored and data files among source files (problem 6).
 
 Method: identifiers, numbers and strings are masked, and the files' token shingles are clustered by MinHash
-banding, each candidate verified by its exact Jaccard similarity. A cluster of one template repeated over
-and over is a generated family; equal unmasked text in several repositories is a vendored copy; a file of
-literals only is a data blob. Paths and notices written by tools add what a single file tells by itself.
+banding, each candidate verified by its exact Jaccard similarity. Each cluster is then judged as a whole: a
+family within a repository that repeats one template, or most of whose members are told to be a tool's work, is
+generated; a cluster of literals is data; one of packed lines is minified; and within the clusters that reach
+over several repositories, texts that agree (near copies, or copies with their names changed throughout) are
+vendored. What a path or a notice says of its own file holds for that file besides.
 """
 
 from __future__ import annotations
@@ -14,15 +16,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.prefilter import FOLD, required
 from codeloom.operators.graph import components
 from codeloom.session import materialize
 
 SHINGLE, BANDS, ROWS, SIMILAR = 5, 32, 8, 0.8
-#: Of the unmasked texts: hashes, and rows of a band.
-TEXT_HASHES, TEXT_ROWS = 64, 4
+#: A family repeats its template: masked tokens to different masked shingles, on average over its members.
+REPEATED = 8
+#: Members that say that a tool wrote them: at least so many, and more than two thirds of their cluster.
+TOLD = 3
+#: Different names that a copy with changed names must agree in; with fewer, short texts agree by chance.
+NAMES = 20
+#: Characters from which a file of literals counts as data.
+BLOB = 200
+#: Sets of a bucket that are compared with all others of it in one round; if more are to be, the next rounds take them.
+LEADERS, SALTS = 64, 16
+#: Rounds in which each set is compared with one other only.
+FIRST = 3
 
 #: Folders and file names that tools and package managers use.
 VENDORED_PATH = (
@@ -64,45 +78,88 @@ _ROW = re.compile(r"\s*[\w.+-]+(?:(?:[,;\t|][^\n,;\t|(){}=]*){2,})?\s*$")
 #: What a doc comment stands above.
 _DECLARED = re.compile(r"\s*(?:@\w|#\[|(?:export|default|pub(?:\([^)]*\))?|async|abstract|static|unsafe|extern|declare)\s|(?:def|class|fn|func|function|type|struct|enum|impl|trait|interface|const|let|var|mod|macro_rules)\b)")
 
+#: What marks a string in a text whose strings and comments are taken out.
+_HOLE = "\u0001"
+#: Derived from the patterns: each match of a notice has one of these.
+_TRIGGERS = tuple(sorted(required(GENERATED_NOTICE) | required(VENDORED_NOTICE)))
+
+_RANDOM = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_EMPTY = np.zeros(0, np.uint64)
+
 _SCHEMA = (
-    "file_path string, repo string, shape string, text_key string, shingles array<long>, signature array<long>, text_bands array<long>, n_tokens int,"
-    " n_shapes int, marked string, notice string, minified boolean, literal boolean"
+    "file_path string, repo string, shape string, text_key string, renamed_key string, shingles array<int>, bands array<long>, text_bands array<long>,"
+    " n_tokens int, n_shapes int, marked string, notice string, minified boolean, literal boolean"
 )
+_TYPES = {
+    "shingles": pa.list_(pa.int32()), "bands": pa.list_(pa.int64()), "text_bands": pa.list_(pa.int64()),
+    "n_tokens": pa.int32(), "n_shapes": pa.int32(), "minified": pa.bool_(), "literal": pa.bool_(),
+}
 
 
-def text_key(code: str) -> str | None:
-    """Of the tokens of a text without comments; null if there are none."""
-    tokens = _TOKEN.findall(code)
-    return hashlib.md5(" ".join(tokens).encode()).hexdigest() if tokens else None
+def _grams(hashes: np.ndarray) -> np.ndarray:
+    """Hashes of 31 bits of the token shingles; of a shorter text one of all its tokens."""
+    if not len(hashes):
+        return np.zeros(0, np.int32)
+    n = max(1, len(hashes) - SHINGLE + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(min(SHINGLE, len(hashes))):
+        out = out * _MIX + hashes[i : i + n]
+    out ^= out >> np.uint64(29)
+    return np.unique((out * _MIX >> np.uint64(33)).astype(np.int32))
 
 
-def _hashed(items: list[str]) -> np.ndarray:
-    return np.fromiter((int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") >> 2 for x in items), np.int64, len(items))
+def band_hashes(shingles: np.ndarray) -> list[int]:
+    """A hash for each band of the MinHash signature of a shingle set; none for an empty set."""
+    if not len(shingles):
+        return []
+    signature = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for s in range(0, len(shingles), 4096):
+        part = shingles[s : s + 4096].astype(np.uint64)[:, None] * _MIX
+        signature = np.minimum(signature, ((part ^ (part >> np.uint64(32))) * _RANDOM >> np.uint64(24)).min(axis=0))
+    out = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in signature.reshape(BANDS, ROWS).T:
+        out = (out ^ column) * _MIX
+        out ^= out >> np.uint64(31)
+    return out.astype(np.int64).tolist()
 
 
-def text_shingles(content: str) -> np.ndarray:
-    """Hashes of the unmasked token shingles of a text, comments aside; of a shorter text one of all its tokens."""
-    tokens = _TOKEN.findall(_PARTS.sub(lambda m: m["s"] or " ", content.replace("\r\n", "\n")))
-    if not tokens:
-        return np.zeros(0, np.int64)
-    kinds = sorted(set(tokens))
-    of = dict(zip(kinds, _hashed(kinds).astype(np.uint64)))
-    hashes = np.array([of[t] for t in tokens], np.uint64)
-    n = max(1, len(hashes) - SHINGLE + 1)
-    out = np.zeros(n, np.uint64)
-    for i in range(min(SHINGLE, len(hashes))):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + hashes[i : i + n]
-    return np.unique((out >> np.uint64(2)).astype(np.int64))
+def _parts(text: str) -> tuple[str, list[str], list[tuple[int, int]]]:
+    """The text with a mark for each string and without comments; the strings; the places of the comments."""
+    strings: list[str] = []
+    comments: list[tuple[int, int]] = []
+
+    def put(m: re.Match) -> str:
+        if m["s"] is None:
+            comments.append(m.span())
+            return " "
+        strings.append(m["s"])
+        return f" {_HOLE} "
+
+    return _PARTS.sub(put, text), strings, comments
+
 
+def _plain(content: str) -> str:
+    return content.replace("\r\n", "\n").replace(_HOLE, " ")
 
-def _bands(signature: np.ndarray) -> list[int]:
-    """A hash of each TEXT_ROWS values of a signature."""
-    return [int(x) for x in _hashed([f"{i} {signature[i : i + TEXT_ROWS].tobytes().hex()}" for i in range(0, len(signature), TEXT_ROWS)])]
+
+def _text_hashes(tokens: list[str], of: dict[str, int], strings: list[str]) -> np.ndarray:
+    """A hash for each token of the unmasked text, a string being one token."""
+    if not tokens:
+        return _EMPTY
+    out = np.fromiter((of[t] for t in tokens), np.uint64, len(tokens))
+    if strings:
+        at = [i for i, t in enumerate(tokens) if t == _HOLE]
+        out[at] = [xxhash.xxh64_intdigest(s) for s in strings]
+    return out
 
 
-def _minhash(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    low = ((hashes ^ (hashes >> 31)) & 0x7FFFFFFF).astype(np.uint64)
-    return ((low[:, None] * a + b) % np.uint64(2147483647)).min(axis=0).astype(np.int64) if len(low) else np.zeros(0, np.int64)
+def text_shingles(content: str) -> tuple[str, np.ndarray]:
+    """(key, shingles) of the unmasked tokens of a text, comments aside."""
+    bare, strings, _ = _parts(_plain(content))
+    tokens = _TOKEN.findall(bare)
+    hashes = _text_hashes(tokens, {t: xxhash.xxh64_intdigest(t) for t in set(tokens)}, strings)
+    return hashlib.md5(hashes.tobytes()).hexdigest(), _grams(hashes)
 
 
 def _stands_alone(text: str, start: int, end: int) -> bool:
@@ -118,194 +175,240 @@ def _stands_alone(text: str, start: int, end: int) -> bool:
             return not _DECLARED.match(line)
 
 
-def file_profile(path: str, content: str, a: np.ndarray, b: np.ndarray) -> dict:
-    """What one file tells by itself: masked shingles and their MinHash, notices, and the shape of its text."""
-    text = content.replace("\r\n", "\n")
-    code = _PARTS.sub(lambda m: m["s"] or " ", text)
-    bare = _PARTS.sub(lambda m: " \u0001 " if m["s"] else " ", text)
-    strings = sum(len(m["s"]) for m in _PARTS.finditer(text) if m["s"])
-    tokens = _TOKEN.findall(bare.replace("\u0001", " € "))
-    kinds = {t: "S" if t == "€" else "N" if t[0].isdigit() or t[0] == "\\" else t if t in _KEEP or not (t[0].isalpha() or t[0] == "_") else "I" for t in set(tokens)}
-    masked = [kinds[t] for t in tokens]
-    grams = sorted(" ".join(g) for g in set(zip(*[masked[i:] for i in range(SHINGLE)]))) if len(masked) >= SHINGLE else [" ".join(masked)] if masked else []
-    hashes = np.unique(_hashed(grams)) if grams else np.zeros(0, np.int64)
-    low = (hashes & 0x7FFFFFFF).astype(np.uint64)
-    signature = ((low[:, None] * a + b) % np.uint64(2147483647)).min(axis=0).astype(np.int64) if len(low) else np.zeros(0, np.int64)
-    notice = ""
-    n_lines = text.count("\n") + 1
-    at = seen = 0
-    for m in _PARTS.finditer(text):
-        if not m["c"]:
+def own_notice(text: str, comments: list[tuple[int, int]]) -> str:
+    """What a text says about itself: generated, vendored or nothing.
+
+    Looked for in all comments: those before the first and behind the last line of code, and those in
+    between that stand alone; a comment beside or above a declaration is about that.
+    """
+    told = ""
+    lead, last = 0, len(text.rstrip())
+    for start, end in comments:
+        if text[lead:start].strip():
+            break
+        lead = end
+    for start, end in reversed(comments):
+        if text[end:last].strip():
+            break
+        last = start
+    for start, end in comments:
+        comment = text[start:end]
+        lowered = comment.translate(FOLD).lower()
+        if not any(t in lowered for t in _TRIGGERS) or not (GENERATED_NOTICE.search(comment) or VENDORED_NOTICE.search(comment)):
             continue
-        at, seen = at + text.count("\n", seen, m.start()), m.start()
-        near_end = at < 15 or at > n_lines - 8
-        if not (near_end or GENERATED_NOTICE.search(m.group()) or VENDORED_NOTICE.search(m.group())) or not near_end and not _stands_alone(text, m.start(), m.end()):
+        if not (end <= lead or start >= last or _stands_alone(text, start, end)):
             continue
-        for line in m.group().split("\n"):
+        for line in comment.split("\n"):
             if BY_HAND.search(line):
                 continue
             if GENERATED_NOTICE.search(line):
-                notice = "generated"
+                told = "generated"
             elif VENDORED_NOTICE.search(line):
-                notice = notice or "vendored"
+                told = told or "vendored"
+    return told
+
+
+def _is_literal(text: str, bare: str, lines: list[str], strings: list[str]) -> bool:
+    """Numbers, strings, rows of values or bytes; at most a declaration's words around them."""
+    if len(text.strip()) < BLOB:
+        return False
+    if not lines:
+        return len(text.strip()) >= 2 * BLOB
+    solid = len(re.sub(r"\s*\u0001\s*", "", bare).strip()) + sum(map(len, strings))
+    longest = max((len(x) for part in (bare, *strings) for x in re.findall(rf"[\w+/=-]{{{BLOB},}}", part)), default=0)
+    if longest >= 0.5 * solid > 0 or len(lines) >= 8 and sum(bool(_ROW.match(x)) for x in lines) >= 0.9 * len(lines):
+        return True
+    words = [w for w in _WORDS.findall(re.sub(r"\\x[0-9a-fA-F]{2}", " ", bare))]
+    return len(words) <= 12 and len(re.sub(r"\W", "", _WORDS.sub("", bare))) + sum(map(len, strings)) + 3 * bare.count("\\x") >= 0.5 * solid
+
+
+def file_profile(path: str, content: str) -> dict:
+    """What is clustered of a file (masked and unmasked shingles by their MinHash bands), and what it tells by itself."""
+    text = _plain(content)
+    bare, strings, comments = _parts(text)
+    tokens = _TOKEN.findall(bare)
+    kinds = set(tokens)
+    is_name = {t for t in kinds if t not in _KEEP and (t[0].isalpha() or t[0] == "_")}
+    of = {t: xxhash.xxh64_intdigest(t) for t in kinds}
+    mask = {t: 1 if t in is_name else 2 if t == _HOLE else 3 if t[0].isdigit() or t[0] == "\\" else of[t] for t in kinds}
+    masked = np.fromiter((mask[t] for t in tokens), np.uint64, len(tokens))
+    shingles = _grams(masked)
+    hashes = _text_hashes(tokens, of, strings)
+    # names numbered as they first come: equal for copies whose names were changed throughout
+    renamed = None
+    if len(is_name) >= NAMES:
+        number: dict[str, int] = {}
+        renamed = masked.copy()
+        at = [i for i, t in enumerate(tokens) if t in is_name]
+        renamed[at] = [number.setdefault(tokens[i], len(number)) + 16 for i in at]
     marked = "vendored" if re.search(VENDORED_PATH, path) else "generated" if re.search(GENERATED_PATH, path) else "minified" if re.search(MINIFIED_PATH, path) else ""
     lines = [x for x in bare.split("\n") if x.strip()]
     packed = "".join(x for x in lines if len(x) > 400)
     minified = len(packed) > 0.5 * sum(map(len, lines)) and packed.count(" ") < 0.15 * len(packed) and len(re.findall(r"[;{}()=]", packed)) > 0.05 * len(packed)
-    words = [w for w in _WORDS.findall(re.sub(r"\\x[0-9a-fA-F]{2}", " ", bare)) if w != "\u0001"]
-    solid = len(code.strip())
-    # literals: numbers, strings, rows of values or bytes; at most a declaration's words around them
-    rows = sum(bool(_ROW.match(x)) for x in lines)
-    literal = len(text.strip()) >= 200 and (
-        (not solid and len(text.strip()) >= 400)
-        or max((len(x) for x in re.findall(r"[\w+/=-]{200,}", code)), default=0) >= 0.5 * solid > 0
-        or (len(lines) >= 8 and rows >= 0.9 * len(lines))
-        or (len(words) <= 12 and len(re.sub(r"[^\w]|\u0001", "", _WORDS.sub("", bare))) + strings + 3 * bare.count("\\x") >= 0.5 * solid)
-    )
     return {
-        "shape": hashlib.md5(hashes.tobytes()).hexdigest() if len(hashes) else None,
-        "text_key": text_key(code),
-        "text_bands": _bands(_minhash(text_shingles(content), a[:TEXT_HASHES], b[:TEXT_HASHES])),
-        "shingles": hashes.tolist(),
-        "signature": signature.tolist(),
+        "shape": hashlib.md5(shingles.tobytes()).hexdigest() if len(shingles) else None,
+        "text_key": hashlib.md5(hashes.tobytes()).hexdigest() if len(hashes) else None,
+        "renamed_key": hashlib.md5(renamed.tobytes()).hexdigest() if renamed is not None else None,
+        "shingles": shingles,
+        "bands": band_hashes(shingles),
+        "text_bands": band_hashes(_grams(hashes)),
         "n_tokens": len(tokens),
-        "n_shapes": len(hashes),
+        "n_shapes": len(shingles),
         "marked": marked,
-        "notice": notice,
+        "notice": own_notice(text, comments),
         "minified": bool(minified),
-        "literal": bool(literal),
+        "literal": _is_literal(text, bare, lines, strings),
     }
 
 
 def profiles(source_files: DataFrame) -> DataFrame:
-    """file_profile of each distinct (file_path, repo, content); rows without path are left out, null content is empty."""
-    rng = np.random.default_rng(5)
-    a = rng.integers(1, 2147483646, BANDS * ROWS).astype(np.uint64)
-    b = rng.integers(0, 2147483646, BANDS * ROWS).astype(np.uint64)
+    """file_profile of each row; rows without path are left out, null content is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"shingles": pa.list_(pa.int64()), "signature": pa.list_(pa.int64()), "text_bands": pa.list_(pa.int64()), "n_tokens": pa.int32(), "n_shapes": pa.int32(), "minified": pa.bool_(), "literal": pa.bool_()}
         names = [f.split()[0] for f in _SCHEMA.split(", ")]
         for batch in batches:
-            rows = [
-                {"file_path": p, "repo": r} | file_profile(p, c or "", a, b)
-                for p, r, c in zip(*(batch.column(i).to_pylist() for i in range(3)))
-                if p is not None
-            ]
-            yield from pa.table({n: pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names}).to_batches()
+            rows = [{"file_path": p, "repo": r} | file_profile(p, c or "") for p, r, c in zip(*(batch.column(i).to_pylist() for i in range(3))) if p is not None]
+            yield from pa.table({n: pa.array([r[n] for r in rows], _TYPES.get(n, pa.string())) for n in names}).to_batches()
 
     return source_files.select("file_path", "repo", "content").mapInArrow(run, _SCHEMA)
 
 
-def shape_clusters(files: DataFrame) -> DataFrame:
-    """(shape, cluster): each distinct masked shingle set with the set it was clustered to.
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) those whose sets have an exact Jaccard similarity of SIMILAR or more."""
+    left = sets.select(F.col("shape").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("shape").alias("b"), F.col("shingles").alias("y"))
+    # sets of too different sizes can't be similar, whatever they hold
+    sized = pairs.join(left, "a").join(right, "b").where(F.least(F.size("x"), F.size("y")) >= SIMILAR * F.greatest(F.size("x"), F.size("y")))
+    common = F.size(F.array_intersect("x", "y"))
+    return sized.where(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
+
+
+def shape_clusters(sets: DataFrame) -> DataFrame:
+    """(shape, cluster) for distinct sets (shape, shingles, bands): the components of the links between similar sets.
 
-    Files with one set are one class already. Of the sets, candidates share a band of their MinHash
-    signatures. In each band bucket the first set leads, and every set is linked to the leaders of its buckets
-    with which its exact Jaccard similarity is SIMILAR or more. Sets without a link go on to another round, in
-    which new ones lead, until no bucket holds two. A cluster is a connected component of the links. A round
-    settles at least the leader of every bucket; no bucket is cut, and only (bucket, set) rows move, never
-    the pairs within a bucket.
+    Sets that share a band hash are in one bucket. In FIRST rounds each set is compared with one set of the largest
+    component of its buckets, the one it shares most with; that connects most of them. After that, of each bucket
+    that still holds several components, the sets outside its largest one (of more than LEADERS so many of them)
+    are compared with the others of the bucket, and leave it; this goes on until every bucket is one component or
+    used up. So any two sets of a bucket were compared or are connected by others: only what shares no bucket at
+    all is lost. Pairs grow with a bucket, not with its square, and only ids move; rows of a hot bucket are spread
+    over SALTS.
     """
-    sets = materialize(
-        files.where("shape is not null and n_shapes > 0")
-        .groupBy("shape")
-        .agg(F.first("shingles").alias("shingles"), F.first("signature").alias("signature"))
-    )
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("signature", i * ROWS + 1, ROWS)))
-    left = materialize(sets.select("shape", F.posexplode(bands).alias("band", "bucket")))
-    links = None
-    while True:
-        leaders = left.groupBy("band", "bucket").agg(F.min("shape").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        leaders = materialize(leaders)
-        if leaders.isEmpty():
-            break
-        pairs = left.join(leaders, ["band", "bucket"]).where("shape <> leader").select("shape", "leader").distinct()
-        other = sets.select(F.col("shape").alias("leader"), F.col("shingles").alias("theirs"))
-        common = F.size(F.array_intersect("shingles", "theirs"))
-        pairs = pairs.join(sets.select("shape", "shingles"), "shape").join(other, "leader")
-        verified = pairs.where(common >= SIMILAR * (F.size("shingles") + F.size("theirs") - common))
-        verified = materialize(verified.select("shape", "leader"))
-        links = verified if links is None else links.unionByName(verified)
-        settled = verified.select("shape").unionByName(leaders.select(F.col("leader").alias("shape"))).distinct()
-        left = materialize(left.join(settled, "shape", "left_anti"))
-    alone = sets.select("shape", F.col("shape").alias("cluster"))
-    if links is None:
-        return alone
-    joined = components(links.select(F.col("shape").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("id", "shape")
-    joined = joined.withColumnRenamed("component", "cluster")
-    return joined.unionByName(alone.join(joined.select("shape"), "shape", "left_anti"))
-
-
-def copied_texts(source_files: DataFrame, files: DataFrame) -> DataFrame:
-    """(text_key): texts of clusters that reach over several repositories.
-
-    Texts that share a band of their unmasked MinHash with one of another repository are read again, and
-    clustered by the exact similarity of their unmasked shingles. Equal texts are one text.
+    sets = sets.where(F.size("shingles") > 0)
+    of = sets.select("shape", F.col("shape").alias("component")).where("false")
+    left = materialize(sets.select("shape", F.explode("bands").alias("bucket")))
+    round_ = 0
+    while not left.isEmpty():
+        placed = left.join(of, "shape", "left").withColumn("component", F.coalesce("component", "shape"))
+        counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("shape", F.xxhash64("shape", F.lit(round_))).alias("one"))
+        several = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component", "one")).alias("top"), F.sum("n").alias("n"))
+        several = several.where("k > 1").select("bucket", F.col("top.component").alias("largest"), "top.one", (F.col("n") - F.col("top.n")).alias("outside"))
+        placed = materialize(placed.join(several, "bucket"))
+        if round_ < FIRST:
+            shared = placed.where("component <> largest").groupBy("shape", "one").agg(F.count(F.lit(1)).alias("n"))
+            pairs = shared.groupBy(F.col("shape").alias("a")).agg(F.max_by("one", F.struct("n", "one")).alias("b"))
+            left = placed.select("bucket", "shape")
+        else:
+            outside = placed.where("component <> largest").select("bucket", F.col("shape").alias("leader"), F.col("component").alias("of_leader"), "outside")
+            part = F.pmod(F.xxhash64("leader", F.lit(7)), F.lit(LEADERS)).alias("part")
+            some = outside.where(F.col("outside") > LEADERS).groupBy("bucket", part).agg(F.min(F.struct("leader", "of_leader")).alias("l"))
+            leaders = outside.where(F.col("outside") <= LEADERS).select("bucket", "leader", "of_leader").unionByName(some.select("bucket", "l.leader", "l.of_leader"))
+            leaders = materialize(leaders)
+            spread = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            salted = placed.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(SALTS)).cast("int"))
+            pairs = salted.join(spread, ["bucket", "salt"]).where("component <> of_leader")
+            pairs = pairs.select(F.least("shape", "leader").alias("a"), F.greatest("shape", "leader").alias("b")).distinct()
+            led = leaders.select("bucket", F.col("leader").alias("shape"))
+            left = materialize(placed.where(F.col("outside") > LEADERS).select("bucket", "shape").join(led, ["bucket", "shape"], "left_anti"))
+        links = materialize(_verified(pairs, sets))
+        if not links.isEmpty():
+            # the components so far are the nodes that the new links join
+            root = lambda end: F.coalesce(F.col(f"{end}_root"), F.col(end)).alias(end)
+            named = links.join(of.select(F.col("shape").alias("a"), F.col("component").alias("a_root")), "a", "left")
+            named = named.join(of.select(F.col("shape").alias("b"), F.col("component").alias("b_root")), "b", "left")
+            joined = materialize(components(named.select(root("a"), root("b"))))
+            moved = of.join(joined.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left")
+            moved = moved.select("shape", F.coalesce("now", "component").alias("component"))
+            new = joined.select(F.col("id").alias("shape"), "component").join(of.select("shape"), "shape", "left_anti")
+            of = materialize(moved.unionByName(new))
+        round_ += 1
+    alone = sets.select("shape", F.col("shape").alias("cluster")).join(of.select("shape"), "shape", "left_anti")
+    return of.select("shape", F.col("component").alias("cluster")).unionByName(alone)
+
+
+def near_texts(source_files: DataFrame, files: DataFrame) -> DataFrame:
+    """(shape, shingles, bands): the unmasked texts that share a band with another text of another repository.
+
+    They are read again, one file for each different text.
     """
-    texts = files.where("text_key is not null").select("file_path", "repo", F.coalesce("repo", F.lit("")).alias("r"), "text_key", "text_bands")
-    texts = materialize(texts)
-    equal = texts.groupBy("text_key").agg(F.min("r").alias("low"), F.max("r").alias("high"))
-    of_bands = texts.select("text_key", "r", F.posexplode("text_bands").alias("band", "bucket"))
-    shared = of_bands.groupBy("band", "bucket").agg(F.min("r").alias("l"), F.max("r").alias("h"), F.min("text_key").alias("k"), F.max("text_key").alias("m"))
-    near = of_bands.join(shared.where("l <> h and k <> m").select("band", "bucket"), ["band", "bucket"], "left_semi").select("text_key").distinct()
-    one = texts.join(near, "text_key", "left_semi").groupBy("text_key").agg(F.min(F.struct("file_path", "r")).alias("one")).select("text_key", "one.*")
-
-    rng = np.random.default_rng(6)
-    a = rng.integers(1, 2147483646, BANDS * ROWS).astype(np.uint64)
-    b = rng.integers(0, 2147483646, BANDS * ROWS).astype(np.uint64)
+    texts = files.where("text_key is not null").select("file_path", F.coalesce("repo", F.lit("")).alias("r"), "text_key", "text_bands")
+    of_bands = texts.select("text_key", "r", F.explode("text_bands").alias("bucket"))
+    shared = of_bands.groupBy("bucket").agg(F.min("r").alias("l"), F.max("r").alias("h"), F.min("text_key").alias("k"), F.max("text_key").alias("m"))
+    near = of_bands.join(shared.where("l <> h and k <> m").select("bucket"), "bucket", "left_semi").select("text_key").distinct()
+    one = texts.join(near, "text_key", "left_semi").groupBy("text_key").agg(F.min(F.struct("file_path", "r")).alias("one")).select("one.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        long = pa.list_(pa.int64())
         for batch in batches:
-            keys, sets, signatures = [], [], []
-            for content in batch.column(0).to_pylist():
-                text = (content or "").replace("\r\n", "\n")
-                keys.append(text_key(_PARTS.sub(lambda m: m["s"] or " ", text)))
-                sets.append(text_shingles(text))
-                signatures.append(_minhash(sets[-1], a, b).tolist())
-            cols = [pa.array(keys, pa.string()), pa.array([x.tolist() for x in sets], long), pa.array(signatures, long), pa.array([len(x) for x in sets], pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, ["shape", "shingles", "signature", "n_shapes"])
-
-    again = source_files.select("file_path", F.coalesce("repo", F.lit("")).alias("r"), "content").join(one.select("file_path", "r"), ["file_path", "r"], "left_semi")
-    sets = materialize(again.select("content").mapInArrow(run, "shape string, shingles array<long>, signature array<long>, n_shapes int"))
-    clusters = shape_clusters(sets).withColumnRenamed("shape", "text_key").join(equal, "text_key")
-    wide = clusters.groupBy("cluster").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("cluster")
-    return clusters.join(wide, "cluster", "left_semi").select("text_key").unionByName(equal.where("low <> high").select("text_key")).distinct()
+            found = [text_shingles(c or "") for c in batch.column(0).to_pylist()]
+            cols = [pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], _TYPES["shingles"]), pa.array([band_hashes(s) for _, s in found], _TYPES["bands"])]
+            yield pa.RecordBatch.from_arrays(cols, ["shape", "shingles", "bands"])
+
+    again = source_files.select("file_path", F.coalesce("repo", F.lit("")).alias("r"), "content").join(one, ["file_path", "r"], "left_semi")
+    return again.select("content").mapInArrow(run, "shape string, shingles array<int>, bands array<long>")
 
 
 def classify(source_files: DataFrame) -> DataFrame:
-    """(file_path, repo, cluster, kind): kind is generated, minified, vendored, data or null (hand-written).
+    """(file_path, repo, cluster, kind, own, family, copied, ...): kind is generated, minified, vendored, data or null (hand-written).
 
-    Repeated rows are one file. Empty and null content is hand-written unless the path says otherwise; a null
-    repo is a repository of its own; an empty table gives no rows; extra columns are ignored.
+    ``family`` is what the file's cluster was judged to be, ``copied`` whether its text agrees with one of another
+    repository, ``own`` what its path, notice or form says; kind is the first of vendored, minified, generated and data
+    that any of them says, the family's only where the file's own says nothing. Repeated rows are one
+    file. Empty and null content is hand-written unless the path says otherwise; a null repo is a repository of its
+    own; an empty table gives no rows; extra columns are ignored.
     """
     files = materialize(profiles(source_files).dropDuplicates(["file_path", "repo", "shape", "text_key"]))
-    clusters = materialize(shape_clusters(files))
-    repeats = F.col("n_tokens") / F.greatest(F.col("n_shapes"), F.lit(1))
-    template = (F.col("n_shapes") <= 45) & (repeats >= 8)
-    known = F.greatest((F.col("marked") == "generated").cast("int"), (F.col("notice") == "generated").cast("int"))
-    members = files.join(clusters, "shape", "left")
-    per_repo = members.where("cluster is not null").groupBy("cluster", F.coalesce("repo", F.lit("")).alias("r")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(template.cast("int")).alias("t"), F.sum(known).alias("k")
-    )
-    family = per_repo.groupBy("cluster").agg(
-        F.max("n").alias("in_repo"), F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("k").alias("k")
-    )
-    # of a family most members repeat one template; a family in one repository or a marked member settles it
-    family = family.where((F.col("t") >= 0.8 * F.col("n")) & ((F.col("n") >= 2) | (F.col("k") > 0))).select("cluster", F.lit(True).alias("family"))
-    copies = copied_texts(source_files, files).withColumn("copied", F.lit(True))
-    single = template & (repeats >= 10)
-    kind = (
+    masked = files.where("shape is not null").groupBy("shape").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
+    tagged = lambda df, tag: df.withColumn("shape", F.concat(F.lit(tag), "shape"))
+    sets = materialize(tagged(masked, "m").unionByName(tagged(near_texts(source_files, files).dropDuplicates(["shape"]), "t")))
+    clusters = materialize(shape_clusters(sets))
+    own = (
         F.when((F.col("marked") == "vendored") | (F.col("notice") == "vendored"), "vendored")
         .when(F.col("minified") | (F.col("marked") == "minified"), "minified")
         .when((F.col("marked") == "generated") | (F.col("notice") == "generated"), "generated")
         .when(F.col("literal"), "data")
-        .when((F.col("family") & template) | single, "generated")
-        .when(F.col("copied"), "vendored")
     )
-    return (
-        members.join(family, "cluster", "left")
-        .join(copies, "text_key", "left")
-        .select("file_path", "repo", "cluster", kind.alias("kind"), "marked", "notice", "minified", "literal", "n_tokens", "n_shapes", "family", "copied")
+    of_shape = clusters.where("shape like 'm%'").select(F.substring("shape", 2, 64).alias("shape"), "cluster")
+    members = files.drop("shingles", "bands", "text_bands").withColumn("own", own).withColumn("r", F.coalesce("repo", F.lit("")))
+    members = materialize(members.join(of_shape, "shape", "left"))
+
+    # clusters are judged by counts, taken per repository first
+    per_repo = members.where("cluster is not null").groupBy("cluster", "r").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("n_tokens") / F.col("n_shapes")).alias("repeats"),
+        *[F.sum(F.coalesce(F.col("own") == k, F.lit(False)).cast("int")).alias(k) for k in ("generated", "minified")],
+        F.sum(F.col("literal").cast("int")).alias("data"),
+    )
+    judged = per_repo.groupBy("cluster").agg(F.max("n").alias("in_repo"), *[F.sum(c).alias(c) for c in ("n", "repeats", "generated", "minified", "data")])
+    told = lambda c: (F.col(c) >= TOLD) & (3 * F.col(c) > 2 * F.col("n"))
+    family = (
+        F.when(2 * F.col("data") > F.col("n"), "data")
+        .when(told("minified"), "minified")
+        .when(told("generated") | (F.col("in_repo") >= 2) & (F.col("repeats") >= REPEATED * F.col("n")), "generated")
     )
+    judged = judged.select("cluster", family.alias("family"), (F.col("in_repo") < F.col("n")).alias("wide")).where("family is not null or wide")
+
+    # of the clusters over several repositories, the texts that agree beyond the mask
+    of_text = clusters.where("shape like 't%'").select(F.substring("shape", 2, 64).alias("text_key"), F.col("cluster").alias("text_cluster"))
+    members = members.join(judged, "cluster", "left").join(of_text, "text_key", "left")
+    members = materialize(members.withColumn("text_cluster", F.coalesce("text_cluster", F.concat(F.lit("t"), "text_key"))))
+    wide = members.where("wide")
+
+    def agreeing(key: str, flag: str) -> DataFrame:
+        # counted per key and repository first: a text that a third of all files hold is one row a map task
+        reach = wide.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("r").alias("low"), F.max("r").alias("high"))
+        return reach.where("low <> high").select(key, F.lit(True).alias(flag))
+
+    members = members.join(agreeing("text_cluster", "copied"), "text_cluster", "left").join(agreeing("renamed_key", "renamed"), "renamed_key", "left")
+    copied = F.coalesce("copied", "renamed", F.lit(False))
+    kind = F.coalesce("own", "family", F.when(copied, "vendored"))
+    return members.select("file_path", "repo", "cluster", kind.alias("kind"), "own", "family", copied.alias("copied"), "marked", "notice", "n_tokens", "n_shapes")

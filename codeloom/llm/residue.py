@@ -10,7 +10,6 @@ or a notice is an error page.
 from __future__ import annotations
 
 import re
-import re._parser as sre  # its module also has the names of the operations
 import zlib
 from collections.abc import Iterator
 
@@ -18,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.prefilter import FOLD, required
 from codeloom.session import materialize
 
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|<(?P<tag>code|pre)>.*?</(?P=tag)>", re.S)
@@ -99,43 +99,13 @@ _LABEL = re.compile(r"\s*(?:[-*#>]+\s*)?[^\W\d][^:\n]{0,40}:")
 VALUE, BITS = 6, 1 << 20
 
 
-def _required(parsed) -> frozenset[str]:
-    """Lower-case strings of which every match of a parsed pattern has one; empty if there are none."""
-    best, run = frozenset(), ""
-
-    def better(new: frozenset[str]) -> None:
-        nonlocal best
-        if new and (not best or min(map(len, new)) > min(map(len, best))):
-            best = new
-
-    for op, arg in [*parsed, (None, None)]:
-        if op is sre.LITERAL:
-            run += chr(arg).lower()
-            continue
-        better(frozenset([run] if run else []))
-        run = ""
-        if op is sre.BRANCH:
-            parts = [_required(x) for x in arg[1]]
-            better(frozenset().union(*parts) if all(parts) else frozenset())
-        elif op is sre.SUBPATTERN:
-            better(_required(arg[3]))
-        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
-            single = len(arg[2]) == 1 and arg[2][0][0] is sre.LITERAL
-            better(frozenset([chr(arg[2][0][1]).lower() * arg[0]]) if single else _required(arg[2]))
-        elif op is sre.IN and all(k is sre.LITERAL for k, _ in arg):
-            better(frozenset(chr(c).lower() for _, c in arg))
-    return best
-
-
-#: Derived from the patterns, each of their alternatives apart: every match has one of these.
-_TRIGGERS = tuple(sorted(frozenset().union(*[_required(sre.parse(x.pattern, x.flags)) for x in (SLOT, FILLER, ERROR, _ANSWER, SCRIPT)])))
-#: What matches an ASCII letter where case is ignored, but isn't that letter in lower case.
-_FOLD = str.maketrans({"İ": "i", "ı": "i", "ſ": "s"})
+#: Derived from the patterns: every match has one of these.
+_TRIGGERS = tuple(sorted(frozenset().union(*[required(x) for x in (SLOT, FILLER, ERROR, _ANSWER, SCRIPT)])))
 
 
 def triggers(text: str) -> list[str]:
     """The triggers in a text."""
-    lowered = text.translate(_FOLD).lower()
+    lowered = text.translate(FOLD).lower()
     return [t for t in _TRIGGERS if t in lowered]
 
 
@@ -175,7 +145,7 @@ def describe(segment: str, hits: list[str] | tuple[str, ...] = _TRIGGERS) -> tup
 
     ``hits``: the triggers that the whole text has.
     """
-    lowered = segment.translate(_FOLD).lower()
+    lowered = segment.translate(FOLD).lower()
     if not any(t in lowered for t in hits) and not _lorem(segment):
         if is_navigation(segment):
             return "chrome", "", 0
