@@ -1,9 +1,10 @@
 """Functions paired with their documentation (problem 1).
 
-Method: the declarations of all files form a symbol table keyed by qualified name. A definition takes its
-own documentation comment, else that of a separate declaration (a stub file beside it, an overload in the
-same file, a trait it implements) with the same name and the same normalised signature. Only then are empty
-and trivial texts dropped.
+Method: the declarations of all files form a symbol table. A definition takes its own documentation comment, else
+that of a separate declaration: one of the same module-qualified name and normalised signature (a stub file in any
+root, an overload), or the method of that name and signature in a trait, interface or base class that its
+type names, wherever that is declared in the repository (in Go, an interface of the same package). Only then are
+empty and trivial texts dropped.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from codeloom.sources.scan import scan
 
 _DECLARATIONS = (
     "file_path string, repo string, language string, id string, name string, owner string, entity_type string,"
-    " line_start int, signature string, body boolean, doc string, code string, tail string"
+    " line_start int, signature string, body boolean, within string, bases array<string>, doc string, code string"
 )
 
 #: Line openings and whole lines that say nothing.
@@ -94,37 +95,60 @@ def declarations(source_files: DataFrame, code: bool = True) -> DataFrame:
             for path, repo, language, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if path is None or content is None:
                     continue
-                for d in scan(path, content, language):
+                for d in scan(path, content, language, interfaces=True):
                     if d["entity_type"] != "class":
-                        rows.append(d | {"file_path": path, "repo": repo, "language": language, "tail": None, "code": d["code"] if code else None})
-            cols = {n: pa.array([r[n] for r in rows], pa.int32() if n == "line_start" else pa.bool_() if n == "body" else pa.string()) for n in names}
+                        rows.append(d | {"file_path": path, "repo": repo, "language": language, "code": d["code"] if code else None})
+            kinds = {"line_start": pa.int32(), "body": pa.bool_(), "bases": pa.list_(pa.string())}
+            cols = {n: pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names}
             yield from pa.table(cols).to_batches()
 
-    return source_files.select("file_path", "repo", "language", "content").mapInArrow(run, _DECLARATIONS).drop("tail")
+    return source_files.select("file_path", "repo", "language", "content").mapInArrow(run, _DECLARATIONS)
+
+
+#: Folders that hold sources or declarations, and are no part of a module's name.
+_ROOTS = r"^(?:(?:src|lib|stubs|typings|types|@types|include)/)+"
 
 
 def symbol_docs(table: DataFrame) -> DataFrame:
-    """``table`` of declarations with documentation found elsewhere filled in; ``doc_from`` is own, declaration or null.
+    """``table`` of declarations with documentation found elsewhere filled in; ``doc_from`` is own, declaration, base or null.
 
-    A definition without documentation takes that of a documented declaration that shares its scope (the path
-    without `.d` and extension, then the owner), name and normalised signature; of several the first by path
-    and line.
+    A definition without documentation takes that of a documented declaration of the same repository: first of
+    one with its module (the path without `.d`, extension and _ROOTS), owner, name and normalised signature, then of
+    the method with its name and normalised signature in the traits, interfaces and base classes of its type, in
+    their order. Of several the first by path and line. The symbol table has one row a key, made with map-side
+    combine; keys that many definitions ask for are split by AQE.
     """
-    scope = F.concat_ws("\u0001", F.regexp_replace("file_path", r"(\.d)?\.\w+$", ""), "owner", "name", "signature")
-    keyed = table.withColumn("scope", F.concat_ws("\u0001", F.coalesce("repo", F.lit("")), scope))
+    repo, sep = F.coalesce("repo", F.lit("")), "\u0001"
+    module = F.regexp_replace(F.regexp_replace("file_path", r"(\.d)?\.\w+$", ""), _ROOTS, "")
+    go = F.col("file_path").endswith(".go")
+    folder = F.regexp_replace("file_path", r"/?[^/]*$", "")
+    here = F.concat_ws(sep, F.lit("name"), repo, module, "owner", "name", "signature")
+    member = lambda base: F.concat_ws(sep, F.lit("base"), repo, base, "name", "signature")
+    package = F.concat(F.lit("*"), folder)
+
+    own = F.length(F.trim("doc")) > 0
     separate = ~F.col("body") | F.col("file_path").rlike(r"(\.d\.[mc]?ts|\.pyi)$")
-    declared = (
-        keyed.where(separate & (F.length(F.trim("doc")) > 0))
-        .groupBy("scope")
-        .agg(F.min_by("doc", F.struct("file_path", "line_start")).alias("declared_doc"))
+    gives = F.filter(F.array(F.when(separate, here), F.when(F.col("within") != "", member(F.when(go, F.when(separate, package)).otherwise(F.col("within"))))), lambda k: k.isNotNull())
+    # a missing base makes concat_ws leave it out, so Go's definitions are told apart here
+    gives = F.when(go & F.col("body"), F.array().cast("array<string>")).otherwise(gives)
+    symbols = (
+        table.where(own)
+        .select(F.explode(gives).alias("key"), "doc", "file_path", "line_start")
+        .groupBy("key")
+        .agg(F.min_by("doc", F.struct("file_path", "line_start")).alias("found"))
     )
-    own = F.length(F.trim("doc")) > 0
-    documented = keyed.where(own).withColumn("doc_from", F.lit("own"))
-    bare = keyed.where(~F.coalesce(own, F.lit(False))).join(declared, "scope", "left")
-    bare = bare.withColumn("doc_from", F.when(F.col("declared_doc").isNotNull(), "declaration")).withColumn(
-        "doc", F.coalesce("declared_doc", "doc")
+    asks = F.concat(F.array(here), F.when(go, F.when(F.col("within") != "", F.array(member(package)))).otherwise(F.transform("bases", member)))
+    documented = table.where(own).withColumn("doc_from", F.lit("own"))
+    bare = table.where(~F.coalesce(own, F.lit(False)))
+    at = ["repo", "file_path", "line_start", "id"]
+    asked = bare.select(*at, F.posexplode(F.coalesce(asks, F.array(here))).alias("rank", "key")).join(symbols, "key")
+    taken = asked.groupBy(*at).agg(F.min_by(F.struct("found", "rank"), "rank").alias("t"))
+    taken = taken.select(*[F.col(c).alias(f"_{c}") for c in at], F.col("t.found").alias("found"), F.col("t.rank").alias("rank"))
+    same = [bare[c].eqNullSafe(taken[f"_{c}"]) if c == "repo" else bare[c] == taken[f"_{c}"] for c in at]
+    filled = bare.join(taken, same, "left").withColumns(
+        {"doc_from": F.when(F.col("rank") == 0, "declaration").when(F.col("rank") > 0, "base"), "doc": F.coalesce("found", "doc")}
     )
-    return documented.unionByName(bare.drop("declared_doc")).drop("scope")
+    return documented.unionByName(filled.select(documented.columns))
 
 
 def documented_functions(source_files: DataFrame, entities: DataFrame, code: bool = True) -> DataFrame:
@@ -144,7 +168,7 @@ def documented_functions(source_files: DataFrame, entities: DataFrame, code: boo
 
     told = table.withColumn("description", kept("doc", "name")).where("description is not null")
     ids = entities.where("id is not null and entity_type in ('function', 'method', 'test_function')").select(F.col("id").alias("entity_id")).distinct()
-    w = Window.partitionBy("entity_id").orderBy(F.col("doc_from").desc(), "file_path", "line_start")
+    w = Window.partitionBy("entity_id").orderBy(F.col("doc_from") != "own", "file_path", "line_start")
     first = told.withColumnRenamed("id", "entity_id").withColumn("nth", F.row_number().over(w)).where("nth = 1")
     return first.join(ids, "entity_id", "left_semi").select(
         "entity_id", "name", "entity_type", "language", "file_path", "line_start", "description", "doc_from", "code"

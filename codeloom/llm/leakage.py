@@ -1,9 +1,9 @@
 """Evaluation texts inside training text (problem 7).
 
-Method: a BM25 inverted index of the test items, its items in blocks with the largest impact of each term in
-each block. Every passage of every document is a query. A block is scored only if the block maxima of the
-passage's terms reach the threshold (the block-max test of WAND, done for many passages at once); all items
-at or above the threshold are kept and verified by exact overlap.
+Method: a BM25 inverted index of the test items: of each term its postings (item, impact), and of each term and
+block of items the largest impact. Every passage of every document is a query. The maxima of its terms bound its
+score in each block (the block-max test of WAND, done for many passages at once); postings are read only for blocks
+that can reach the threshold, all items at or above it are kept, and verified word by word.
 
 The threshold loses nothing: an item's impacts are divided by the least score that any of its spans of
 MIN_WORDS words can have, so a passage that holds such a span scores 1 or more.
@@ -11,9 +11,7 @@ MIN_WORDS words can have, so a passage that holds such a span scores 1 or more.
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +24,10 @@ MIN_WORDS = 15
 PASSAGE, STRIDE = 2 * MIN_WORDS, MIN_WORDS + 1
 K1, B = 1.2, 0.75
 BLOCK = 16
+#: The largest index that is sent to the executors, in bytes, and what a character of an item's text takes of it at most.
+INDEX_BYTES, BYTES_A_CHAR = 256 << 20, 24
+#: The most entries of an array of bounds or scores.
+_CELLS = 1 << 21
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -35,48 +37,102 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _pointers(sorted_ids: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the ids 0 to n - 1 begins in a sorted array, and its end."""
+    return np.searchsorted(sorted_ids, np.arange(n + 1)).astype(np.int64)
+
+
+def _expand(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which range, place) for all places of the ranges."""
+    count = end - begin
+    which = np.repeat(np.arange(len(count)), count)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + begin[which]
+
+
 def build_index(items: list[tuple[int, str, str]]) -> dict | None:
-    """Impacts, block maxima and spans of the items (item_id, kind, text) that have MIN_WORDS words or more."""
+    """Postings, block maxima and spans of the items (item_id, kind, text) that have MIN_WORDS words or more."""
     told = [(i, k, words(t)) for i, k, t in sorted(items, key=lambda x: (x[0], x[1] or ""))]
     told = [x for x in told if len(x[2]) >= MIN_WORDS]
     if not told:
         return None
     term = {w: n for n, w in enumerate(dict.fromkeys(w for _, _, ws in told for w in ws))}
     n, v = len(told), len(term)
-    df = Counter(w for _, _, ws in told for w in set(ws))
-    mean = sum(len(ws) for _, _, ws in told) / n
-    impact = np.zeros((v + 1, n), np.float64)  # the last row is every unknown word
-    spans, owners = [], []
-    for j, (_, _, ws) in enumerate(told):
-        for w, tf in Counter(ws).items():
-            idf = math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5))
-            impact[term[w], j] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ws) / mean))
-        ids = [term[w] for w in ws]
-        windows = [ids[s : s + MIN_WORDS] for s in range(len(ids) - MIN_WORDS + 1)]
-        least = min(impact[list(set(x)), j].sum() for x in windows)
-        impact[:, j] /= least
-        spans += windows
-        owners += [j] * len(windows)
-    blocks = [impact[:, s : s + BLOCK].max(axis=1) for s in range(0, n, BLOCK)]
+    texts = [np.fromiter((term[w] for w in ws), np.int32, len(ws)) for _, _, ws in told]
+    counted = [np.unique(t, return_counts=True) for t in texts]
+    df = np.bincount(np.concatenate([t for t, _ in counted]), minlength=v)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    mean = sum(map(len, texts)) / n
+    impact_of = np.zeros(v)
+    impacts = []
+    for text, (terms, tf) in zip(texts, counted):
+        impact = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(text) / mean))
+        impact_of[terms] = impact
+        windows = np.sort(np.lib.stride_tricks.sliding_window_view(text, MIN_WORDS), axis=1)
+        once = np.ones(windows.shape, bool)
+        once[:, 1:] = windows[:, 1:] != windows[:, :-1]
+        impacts.append(impact / (impact_of[windows] * once).sum(axis=1).min())
+    of_term = np.concatenate([t for t, _ in counted])
+    of_item = np.repeat(np.arange(n, dtype=np.int32), [len(t) for t, _ in counted])
+    impact = np.concatenate(impacts).astype(np.float32)
+    order = np.lexsort((of_item, of_term))
+    of_term, of_item, impact = of_term[order], of_item[order], impact[order]
+    block = of_term.astype(np.int64) * (n // BLOCK + 1) + of_item // BLOCK
+    first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    owners, starts = _expand(np.zeros(n, np.int64), np.array([len(t) - MIN_WORDS + 1 for t in texts]))
+    begins = np.cumsum([0] + [len(t) for t in texts])[:-1]
+    flat = np.concatenate(texts)
     weights = np.cumprod(np.full(MIN_WORDS, 1099511628211, np.uint64))
-    spans_, owners_ = np.array(spans, np.int64), np.array(owners)
-    keys = (spans_.astype(np.uint64) * weights).sum(axis=1)
-    order = np.lexsort((owners_, keys))
+    keys = np.concatenate([(np.lib.stride_tricks.sliding_window_view(t, MIN_WORDS).astype(np.uint64) * weights).sum(axis=1) for t in texts])
+    order = np.argsort(keys, kind="stable")
     return {
         "ids": np.array([x[0] for x in told], np.int64),
         "kinds": [x[1] for x in told],
+        "lengths": np.array([len(t) for t in texts], np.int32),
         "term": term,
-        "impact": impact.astype(np.float32),
-        "maxima": np.stack(blocks, axis=1).astype(np.float32),
+        "posting_at": _pointers(of_term, v),
+        "posting_item": of_item,
+        "posting_impact": impact,
+        "block_at": _pointers(of_term[first], v),
+        "block": (of_item[first] // BLOCK).astype(np.int32),
+        "block_max": np.maximum.reduceat(impact, first),
+        "n_blocks": (n - 1) // BLOCK + 1,
         "weights": weights,
         "keys": keys[order],
-        "spans": spans_[order],
-        "owners": owners_[order],
+        "words": flat,
+        "span_at": (begins[owners] + starts)[order].astype(np.int32),
+        "owners": owners[order].astype(np.int32),
     }
 
 
-def search(index: dict, docs: list[tuple[int, str]]) -> list[tuple[int, int, float, int]]:
-    """(doc, item position, best passage score, matching spans) for the docs (any key, text)."""
+def index_bytes(index: dict) -> int:
+    """What the index takes in memory, the vocabulary at 150 bytes a term."""
+    return sum(x.nbytes for x in index.values() if isinstance(x, np.ndarray)) + 150 * len(index["term"])
+
+
+def _scored(index: dict, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, score) of all items that score 1 or more for a row of different terms; unknown ones are len(term)."""
+    rows, cols = np.nonzero(terms < len(index["term"]))
+    t = terms[rows, cols]
+    which, at = _expand(index["block_at"][t], index["block_at"][t + 1])
+    n = index["n_blocks"]
+    bound = np.bincount(rows[which] * n + index["block"][at], index["block_max"][at], len(terms) * n)
+    near = bound >= 1 - 1e-4
+    live = near.reshape(len(terms), n).any(axis=1)[rows]
+    rows, t = rows[live], t[live]
+    which, at = _expand(index["posting_at"][t], index["posting_at"][t + 1])
+    item = index["posting_item"][at]
+    kept = near[rows[which] * n + item // BLOCK]
+    pair, place = np.unique(rows[which[kept]] * len(index["ids"]) + item[kept], return_inverse=True)
+    score = np.bincount(place, index["posting_impact"][at[kept]], len(pair))
+    top = score >= 1 - 1e-4
+    return pair[top] // len(index["ids"]), pair[top] % len(index["ids"]), score[top]
+
+
+def search(index: dict, docs: list[tuple[int, str]]) -> list[tuple[int, int, float, int, float]]:
+    """(doc, item position, best passage score, matching spans, overlap) for the docs (any key, text).
+
+    overlap: the share of the item's words that lie in matching spans.
+    """
     term, unknown = index["term"], len(index["term"])
     rows, passages = [], []
     for key, text in docs:
@@ -93,56 +149,50 @@ def search(index: dict, docs: list[tuple[int, str]]) -> list[tuple[int, int, flo
     if not rows:
         return []
     found: dict[tuple[int, int], list] = {}
-    rows_, all_passages = np.array(rows, dtype=object), np.concatenate(passages)
-    for s in range(0, len(all_passages), 4096):
-        part, keys = all_passages[s : s + 4096], rows_[s : s + 4096]
+    all_passages = np.concatenate(passages)
+    step = max(16, min(4096, _CELLS // index["n_blocks"]))
+    for s in range(0, len(all_passages), step):
+        part = all_passages[s : s + step]
         terms = np.sort(part, axis=1)
-        terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = unknown  # a term counts once; what it hides stays sorted apart
-        bound = index["maxima"][terms].sum(axis=1)
-        for block in range(bound.shape[1]):
-            near = np.flatnonzero(bound[:, block] >= 1 - 1e-4)
-            if not len(near):
-                continue
-            first = block * BLOCK
-            score = index["impact"][terms[near], first : first + BLOCK].sum(axis=1)
-            at, item = np.nonzero(score >= 1 - 1e-4)
-            if not len(at):
-                continue
-            # verification: spans of the passage among the item's, word by word
-            own = np.unique(at)
-            spans = np.lib.stride_tricks.sliding_window_view(part[near[own]], MIN_WORDS, axis=1)
-            hashed = (spans.astype(np.uint64) * index["weights"]).sum(axis=2)
-            wanted = dict.fromkeys(zip(own[np.searchsorted(own, at)].tolist(), (item + first).tolist()))
-            best = {(a, i): float(score[a, i - first]) for a, i in wanted}
-            lo = np.searchsorted(index["keys"], hashed.ravel(), "left")
-            hi = np.searchsorted(index["keys"], hashed.ravel(), "right")
-            for flat in np.flatnonzero(hi > lo):
-                a, place = int(own[flat // hashed.shape[1]]), flat % hashed.shape[1]
-                words_here = spans[flat // hashed.shape[1], place]
-                for hit in range(lo[flat], hi[flat]):
-                    j = int(index["owners"][hit])
-                    if (a, j) in best and (index["spans"][hit] == words_here).all():
-                        entry = found.setdefault((keys[near[a]], j), [0.0, 0])
-                        entry[0] = max(entry[0], best[a, j])
-                        entry[1] += 1
-    return [(key, j, score, n) for (key, j), (score, n) in found.items()]
-
-
-def leaked_items(documents: DataFrame, items: DataFrame, block_items: int = 4000) -> DataFrame:
-    """(doc_id, item_id, kind, score, n_spans): documents with MIN_WORDS or more consecutive words of an item.
-
-    ``items`` (item_id, kind, text) are a held-out set: they are taken in blocks of about ``block_items``, each
-    small enough to go to every executor, and each searched by all documents; so their number may grow.
-    Documents are never moved. Null and short texts match nothing; a repeated document row is reported once
-    for each item; items with equal text are all reported; empty tables give no rows.
+        terms[:, 1:][terms[:, 1:] == terms[:, :-1]] = unknown  # a term counts once
+        at, item, score = _scored(index, terms)
+        if not len(at):
+            continue
+        best = dict(zip(zip(at.tolist(), item.tolist()), score.tolist()))
+        # verification: spans of the passage among the item's, word by word
+        own = np.unique(at)
+        spans = np.lib.stride_tricks.sliding_window_view(part[own], MIN_WORDS, axis=1)
+        hashed = (spans.astype(np.uint64) * index["weights"]).sum(axis=2).ravel()
+        lo, hi = (np.searchsorted(index["keys"], hashed, side) for side in ("left", "right"))
+        for flat in np.flatnonzero(hi > lo):
+            a, place = divmod(int(flat), spans.shape[1])
+            for hit in range(lo[flat], hi[flat]):
+                j, begin = int(index["owners"][hit]), int(index["span_at"][hit])
+                if (int(own[a]), j) in best and (index["words"][begin : begin + MIN_WORDS] == spans[a, place]).all():
+                    entry = found.setdefault((rows[s + int(own[a])], j), [0.0, 0, set()])
+                    entry[0] = max(entry[0], best[int(own[a]), j])
+                    entry[1] += 1
+                    entry[2].update(range(begin, begin + MIN_WORDS))
+    return [(key, j, score, n, len(covered) / int(index["lengths"][j])) for (key, j), (score, n, covered) in found.items()]
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, most_bytes: int = INDEX_BYTES) -> DataFrame:
+    """(doc_id, item_id, kind, score, n_spans, overlap): documents with MIN_WORDS or more consecutive words of an item.
+
+    ``overlap`` is the share of the question, solution or answer (see kind) that the document repeats in such spans.
+    ``items`` (item_id, kind, text) are a held-out set: the index holds only their postings and words, and goes to
+    every executor. If it could exceed ``most_bytes`` the items are split into as many parts as that takes, each
+    searched by all documents. Documents are never moved. Null and short texts match nothing; a repeated document
+    row is reported once for each item; items with equal text are all reported; empty tables give no rows.
     """
     spark = documents.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("kind").cast("string").alias("kind"), "text").where("item_id is not null and text is not null").distinct()
-    n_blocks = max(1, -(-items.count() // block_items))
-    schema = "doc_id long, item_id long, kind string, score double, n_spans long"
+    n_chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    n_parts = max(1, -(-n_chars * BYTES_A_CHAR // most_bytes))
+    schema = "doc_id long, item_id long, kind string, score double, n_spans long, overlap double"
     out = None
-    for k in range(n_blocks):
-        chosen = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k)
+    for k in range(n_parts):
+        chosen = items if n_parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_parts)) == k)
         index = build_index([tuple(r) for r in chosen.collect()])
         if index is None:
             continue
@@ -160,6 +210,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, block_items: int = 4000
                         "kind": pa.array([index["kinds"][h[1]] for h in hits], pa.string()),
                         "score": pa.array([h[2] for h in hits], pa.float64()),
                         "n_spans": pa.array([h[3] for h in hits], pa.int64()),
+                        "overlap": pa.array([h[4] for h in hits], pa.float64()),
                     }
                 )
 
@@ -167,4 +218,4 @@ def leaked_items(documents: DataFrame, items: DataFrame, block_items: int = 4000
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], schema)
-    return out.groupBy("doc_id", "item_id", "kind").agg(F.max("score").alias("score"), F.max("n_spans").alias("n_spans"))
+    return out.groupBy("doc_id", "item_id", "kind").agg(*[F.max(c).alias(c) for c in ("score", "n_spans", "overlap")])

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from codeloom.llm import leakage
 
 
@@ -42,8 +44,9 @@ def test_like_brute_force(spark):
     whole = leakage.leaked_items(d, i).collect()
     got = {(r["doc_id"], r["item_id"]) for r in whole}
     assert got == brute(docs, items) and len(whole) == len(got) and len(got) > 30
-    assert all(r["score"] >= 1 - 1e-3 and r["n_spans"] >= 1 for r in whole)
-    blocks = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_items(d, i, block_items=7).collect()}
+    assert all(r["score"] >= 1 - 1e-3 and r["n_spans"] >= 1 and 0 < r["overlap"] <= 1 for r in whole)
+    assert all(r["overlap"] == 1 for r in whole if r["doc_id"] == 502 and r["item_id"] == 3)
+    blocks = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_items(d, i, most_bytes=40_000).collect()}
     assert blocks == got
 
 
@@ -56,7 +59,34 @@ def test_empty(spark):
 def test_every_span_scores_one():
     docs, items = corpus(3)
     index = leakage.build_index([x for x in items if x[2]])
-    for j, owner in enumerate(index["owners"]):
-        ids = list(dict.fromkeys(index["spans"][j].tolist()))
-        assert index["impact"][ids, owner].sum() >= 1 - 1e-4
-    assert (index["maxima"][:, 0] == index["impact"][:, : leakage.BLOCK].max(axis=1)).all()
+    for begin, owner in zip(index["span_at"].tolist(), index["owners"].tolist()):
+        terms = np.unique(index["words"][begin : begin + 15])
+        row = np.full((1, 30), len(index["term"]))
+        row[0, : len(terms)] = terms
+        _, found, score = leakage._scored(index, row)
+        assert owner in found.tolist() and score.min() >= 1 - 1e-4
+
+
+def test_block_maxima():
+    _, items = corpus(4)
+    index = leakage.build_index([x for x in items if x[2]])
+    for t in range(len(index["term"])):
+        low, high = index["posting_at"][t : t + 2]
+        most = {}
+        for item, impact in zip(index["posting_item"][low:high], index["posting_impact"][low:high]):
+            most[item // leakage.BLOCK] = max(most.get(item // leakage.BLOCK, 0), impact)
+        low, high = index["block_at"][t : t + 2]
+        assert dict(zip(index["block"][low:high], index["block_max"][low:high])) == most
+
+
+def test_many_items_fit():
+    """20,000 items of 60 words over a large vocabulary: far below the bound, and found like by brute force."""
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(50_000)]
+    items = [(n, "prompt", " ".join(vocab[int(len(vocab) * rng.random() ** 3)] for _ in range(60))) for n in range(20_000)]
+    index = leakage.build_index(items)
+    chars = sum(len(t) for _, _, t in items)
+    assert leakage.index_bytes(index) <= min(leakage.BYTES_A_CHAR * chars, leakage.INDEX_BYTES)
+    docs = [(n, " ".join(rng.choice(vocab) for _ in range(40)) + " " + " ".join(leakage.words(items[n * 7][2])[5 : 19 + n % 2])) for n in range(60)]
+    got = {(d, j) for d, j, *_ in leakage.search(index, docs)}
+    assert got == {(n, n * 7) for n in range(1, 60, 2)}
