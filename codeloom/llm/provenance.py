@@ -35,8 +35,10 @@ NAMES = 20
 BLOB = 200
 #: Sets of a bucket that are compared with all others of it in one round; if more are to be, the next rounds take them.
 LEADERS, SALTS = 64, 16
-#: Rounds in which each set is compared with one other only.
-FIRST = 3
+#: Rounds in which a set is compared with one other of each of its buckets.
+FIRST = 2
+#: Bits of the maps that bound the common shingles of two sets.
+BITS = 1024
 
 #: Folders and file names that tools and package managers use.
 VENDORED_PATH = (
@@ -88,11 +90,11 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.zeros(0, np.uint64)
 
 _SCHEMA = (
-    "file_path string, repo string, shape string, text_key string, renamed_key string, shingles array<int>, bands array<long>, text_bands array<long>,"
+    "file_path string, repo string, shape long, text_key long, renamed_key long, shingles array<int>, bits array<long>, bands array<long>, text_bands array<long>,"
     " n_tokens int, n_shapes int, marked string, notice string, minified boolean, literal boolean"
 )
 _TYPES = {
-    "shingles": pa.list_(pa.int32()), "bands": pa.list_(pa.int64()), "text_bands": pa.list_(pa.int64()),
+    "shape": pa.int64(), "text_key": pa.int64(), "renamed_key": pa.int64(), "bits": pa.list_(pa.int64()), "shingles": pa.list_(pa.int32()), "bands": pa.list_(pa.int64()), "text_bands": pa.list_(pa.int64()),
     "n_tokens": pa.int32(), "n_shapes": pa.int32(), "minified": pa.bool_(), "literal": pa.bool_(),
 }
 
@@ -109,6 +111,18 @@ def _grams(hashes: np.ndarray) -> np.ndarray:
     return np.unique((out * _MIX >> np.uint64(33)).astype(np.int32))
 
 
+def _key(hashes: np.ndarray) -> int:
+    """A number for what the array holds."""
+    return int.from_bytes(hashlib.md5(hashes.tobytes()).digest()[:8], "little", signed=True)
+
+
+def bit_map(shingles: np.ndarray) -> list[int]:
+    """The set's map of BITS bits, as longs."""
+    bits = np.zeros(BITS, bool)
+    bits[shingles & (BITS - 1)] = True
+    return np.packbits(bits).view(np.int64).tolist()
+
+
 def band_hashes(shingles: np.ndarray) -> list[int]:
     """A hash for each band of the MinHash signature of a shingle set; none for an empty set."""
     if not len(shingles):
@@ -154,12 +168,12 @@ def _text_hashes(tokens: list[str], of: dict[str, int], strings: list[str]) -> n
     return out
 
 
-def text_shingles(content: str) -> tuple[str, np.ndarray]:
+def text_shingles(content: str) -> tuple[int, np.ndarray]:
     """(key, shingles) of the unmasked tokens of a text, comments aside."""
     bare, strings, _ = _parts(_plain(content))
     tokens = _TOKEN.findall(bare)
     hashes = _text_hashes(tokens, {t: xxhash.xxh64_intdigest(t) for t in set(tokens)}, strings)
-    return hashlib.md5(hashes.tobytes()).hexdigest(), _grams(hashes)
+    return _key(hashes), _grams(hashes)
 
 
 def _stands_alone(text: str, start: int, end: int) -> bool:
@@ -246,10 +260,11 @@ def file_profile(path: str, content: str) -> dict:
     packed = "".join(x for x in lines if len(x) > 400)
     minified = len(packed) > 0.5 * sum(map(len, lines)) and packed.count(" ") < 0.15 * len(packed) and len(re.findall(r"[;{}()=]", packed)) > 0.05 * len(packed)
     return {
-        "shape": hashlib.md5(shingles.tobytes()).hexdigest() if len(shingles) else None,
-        "text_key": hashlib.md5(hashes.tobytes()).hexdigest() if len(hashes) else None,
-        "renamed_key": hashlib.md5(renamed.tobytes()).hexdigest() if renamed is not None else None,
+        "shape": _key(shingles) if len(shingles) else None,
+        "text_key": _key(hashes) if len(hashes) else None,
+        "renamed_key": _key(renamed) if renamed is not None else None,
         "shingles": shingles,
+        "bits": bit_map(shingles),
         "bands": band_hashes(shingles),
         "text_bands": band_hashes(_grams(hashes)),
         "n_tokens": len(tokens),
@@ -274,39 +289,45 @@ def profiles(source_files: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of the pairs (a, b) those whose sets have an exact Jaccard similarity of SIMILAR or more."""
-    left = sets.select(F.col("shape").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("shape").alias("b"), F.col("shingles").alias("y"))
-    # sets of too different sizes can't be similar, whatever they hold
-    sized = pairs.join(left, "a").join(right, "b").where(F.least(F.size("x"), F.size("y")) >= SIMILAR * F.greatest(F.size("x"), F.size("y")))
-    common = F.size(F.array_intersect("x", "y"))
-    return sized.where(common >= SIMILAR * (F.size("x") + F.size("y") - common)).select("a", "b")
+    """Of the pairs (a, b) those whose sets have an exact Jaccard similarity of SIMILAR or more.
+
+    The sizes and bit maps bound the common shingles from above: those in one bit of the left map count as one
+    there, so what its bits fall short of its size is added. Only pairs that pass this are joined to their shingles.
+    """
+    of = lambda end, *columns: sets.select(F.col("shape").alias(end), *[F.col(c).alias(f"{end}_{c}") for c in columns])
+    sized = pairs.join(of("a", "bits", "n"), "a").join(of("b", "bits", "n"), "b")
+    count = lambda x: sum((F.bit_count(x(i)).cast("int") for i in range(1, BITS // 64)), F.bit_count(x(0)).cast("int"))
+    common = count(lambda i: F.col("a_bits")[i].bitwiseAND(F.col("b_bits")[i])) + F.col("a_n") - count(lambda i: F.col("a_bits")[i])
+    common = F.least(common, "a_n", "b_n")
+    near = sized.where(common >= SIMILAR * (F.col("a_n") + F.col("b_n") - common)).select("a", "b")
+    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
+    exact = near.join(of("a", "shingles"), "a").join(of("b", "shingles"), "b")
+    return exact.where(common >= SIMILAR * (F.size("a_shingles") + F.size("b_shingles") - common)).select("a", "b")
 
 
 def shape_clusters(sets: DataFrame) -> DataFrame:
-    """(shape, cluster) for distinct sets (shape, shingles, bands): the components of the links between similar sets.
+    """(shape, cluster) for distinct sets (shape, shingles, bits, bands): the components of the links between similar sets.
 
     Sets that share a band hash are in one bucket. In FIRST rounds each set is compared with one set of the largest
-    component of its buckets, the one it shares most with; that connects most of them. After that, of each bucket
-    that still holds several components, the sets outside its largest one (of more than LEADERS so many of them)
-    are compared with the others of the bucket, and leave it; this goes on until every bucket is one component or
-    used up. So any two sets of a bucket were compared or are connected by others: only what shares no bucket at
-    all is lost. Pairs grow with a bucket, not with its square, and only ids move; rows of a hot bucket are spread
-    over SALTS.
+    component of each of its buckets; that connects most of them. After that, of each bucket that still holds
+    several components, the sets outside its largest one (of more than LEADERS so many of them) are compared with
+    the others of the bucket, and leave it; this goes on until every bucket is one component or used up. So any two
+    sets of a bucket were compared or are connected by others: only what shares no bucket at all is lost. Pairs
+    grow with a bucket, not with its square, and only ids move; rows of a hot bucket are spread over SALTS.
     """
-    sets = sets.where(F.size("shingles") > 0)
+    sets = sets.where(F.size("shingles") > 0).withColumn("n", F.size("shingles"))
     of = sets.select("shape", F.col("shape").alias("component")).where("false")
     left = materialize(sets.select("shape", F.explode("bands").alias("bucket")))
     round_ = 0
     while not left.isEmpty():
         placed = left.join(of, "shape", "left").withColumn("component", F.coalesce("component", "shape"))
-        counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("shape", F.xxhash64("shape", F.lit(round_))).alias("one"))
+        draw = F.xxhash64("shape", "bucket", F.lit(round_))
+        counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.min_by("shape", draw).alias("one"))
         several = counts.groupBy("bucket").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component", "one")).alias("top"), F.sum("n").alias("n"))
         several = several.where("k > 1").select("bucket", F.col("top.component").alias("largest"), "top.one", (F.col("n") - F.col("top.n")).alias("outside"))
         placed = materialize(placed.join(several, "bucket"))
         if round_ < FIRST:
-            shared = placed.where("component <> largest").groupBy("shape", "one").agg(F.count(F.lit(1)).alias("n"))
-            pairs = shared.groupBy(F.col("shape").alias("a")).agg(F.max_by("one", F.struct("n", "one")).alias("b"))
+            pairs = placed.where("component <> largest").select(F.least("shape", "one").alias("a"), F.greatest("shape", "one").alias("b")).distinct()
             left = placed.select("bucket", "shape")
         else:
             outside = placed.where("component <> largest").select("bucket", F.col("shape").alias("leader"), F.col("component").alias("of_leader"), "outside")
@@ -337,7 +358,7 @@ def shape_clusters(sets: DataFrame) -> DataFrame:
 
 
 def near_texts(source_files: DataFrame, files: DataFrame) -> DataFrame:
-    """(shape, shingles, bands): the unmasked texts that share a band with another text of another repository.
+    """(shape, shingles, bits, bands): the unmasked texts that share a band with another text of another repository.
 
     They are read again, one file for each different text.
     """
@@ -350,11 +371,11 @@ def near_texts(source_files: DataFrame, files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [text_shingles(c or "") for c in batch.column(0).to_pylist()]
-            cols = [pa.array([k for k, _ in found], pa.string()), pa.array([s for _, s in found], _TYPES["shingles"]), pa.array([band_hashes(s) for _, s in found], _TYPES["bands"])]
-            yield pa.RecordBatch.from_arrays(cols, ["shape", "shingles", "bands"])
+            cols = {"shape": [k for k, _ in found], "shingles": [s for _, s in found], "bits": [bit_map(s) for _, s in found], "bands": [band_hashes(s) for _, s in found]}
+            yield pa.RecordBatch.from_pydict({k: pa.array(v, _TYPES[k]) for k, v in cols.items()})
 
     again = source_files.select("file_path", F.coalesce("repo", F.lit("")).alias("r"), "content").join(one, ["file_path", "r"], "left_semi")
-    return again.select("content").mapInArrow(run, "shape string, shingles array<int>, bands array<long>")
+    return again.select("content").mapInArrow(run, "shape long, shingles array<int>, bits array<long>, bands array<long>")
 
 
 def classify(source_files: DataFrame) -> DataFrame:
@@ -367,9 +388,11 @@ def classify(source_files: DataFrame) -> DataFrame:
     own; an empty table gives no rows; extra columns are ignored.
     """
     files = materialize(profiles(source_files).dropDuplicates(["file_path", "repo", "shape", "text_key"]))
-    masked = files.where("shape is not null").groupBy("shape").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
-    tagged = lambda df, tag: df.withColumn("shape", F.concat(F.lit(tag), "shape"))
-    sets = materialize(tagged(masked, "m").unionByName(tagged(near_texts(source_files, files).dropDuplicates(["shape"]), "t")))
+    masked = files.where("shape is not null").groupBy("shape").agg(*[F.first(c).alias(c) for c in ("shingles", "bits", "bands")])
+    # masked sets get even numbers, unmasked ones odd ones
+    tag = lambda key, odd: F.shiftleft(key, 1) + F.lit(odd)
+    texts = near_texts(source_files, files).dropDuplicates(["shape"])
+    sets = materialize(masked.withColumn("shape", tag("shape", 0)).unionByName(texts.withColumn("shape", tag("shape", 1))))
     clusters = materialize(shape_clusters(sets))
     own = (
         F.when((F.col("marked") == "vendored") | (F.col("notice") == "vendored"), "vendored")
@@ -377,9 +400,9 @@ def classify(source_files: DataFrame) -> DataFrame:
         .when((F.col("marked") == "generated") | (F.col("notice") == "generated"), "generated")
         .when(F.col("literal"), "data")
     )
-    of_shape = clusters.where("shape like 'm%'").select(F.substring("shape", 2, 64).alias("shape"), "cluster")
-    members = files.drop("shingles", "bands", "text_bands").withColumn("own", own).withColumn("r", F.coalesce("repo", F.lit("")))
-    members = materialize(members.join(of_shape, "shape", "left"))
+    of_shape = clusters.where("shape % 2 = 0").withColumnRenamed("shape", "set")
+    members = files.drop("shingles", "bits", "bands", "text_bands").withColumn("set", tag("shape", 0)).withColumn("own", own).withColumn("r", F.coalesce("repo", F.lit("")))
+    members = materialize(members.join(of_shape, "set", "left").drop("set"))
 
     # clusters are judged by counts, taken per repository first
     per_repo = members.where("cluster is not null").groupBy("cluster", "r").agg(
@@ -398,9 +421,9 @@ def classify(source_files: DataFrame) -> DataFrame:
     judged = judged.select("cluster", family.alias("family"), (F.col("in_repo") < F.col("n")).alias("wide")).where("family is not null or wide")
 
     # of the clusters over several repositories, the texts that agree beyond the mask
-    of_text = clusters.where("shape like 't%'").select(F.substring("shape", 2, 64).alias("text_key"), F.col("cluster").alias("text_cluster"))
-    members = members.join(judged, "cluster", "left").join(of_text, "text_key", "left")
-    members = materialize(members.withColumn("text_cluster", F.coalesce("text_cluster", F.concat(F.lit("t"), "text_key"))))
+    of_text = clusters.where("shape % 2 <> 0").select(F.col("shape").alias("text"), F.col("cluster").alias("text_cluster"))
+    members = members.join(judged, "cluster", "left").withColumn("text", tag("text_key", 1)).join(of_text, "text", "left")
+    members = materialize(members.withColumn("text_cluster", F.coalesce("text_cluster", "text")))
     wide = members.where("wide")
 
     def agreeing(key: str, flag: str) -> DataFrame:

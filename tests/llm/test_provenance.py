@@ -123,8 +123,8 @@ def test_clusters_hold_together_and_miss_little(spark):
         for _ in range(rng.randint(0, 3)):
             b[rng.randrange(60)] = rng.choice(words)
         sets[f"s{n:02}"] = np.unique(np.array([zlib.crc32(w.encode()) >> 1 for w in b], np.int32))
-    rows = [(k, x.tolist(), provenance.band_hashes(x)) for k, x in sets.items()] + [("none", [], [])]
-    got = dict(map(tuple, provenance.shape_clusters(spark.createDataFrame(rows, "shape string, shingles array<int>, bands array<long>")).collect()))
+    rows = [(k, x.tolist(), provenance.bit_map(x), provenance.band_hashes(x)) for k, x in sets.items()] + [("none", [], [], [])]
+    got = dict(map(tuple, provenance.shape_clusters(spark.createDataFrame(rows, "shape string, shingles array<int>, bits array<long>, bands array<long>")).collect()))
     sets = {k: set(x.tolist()) for k, x in sets.items()}
     assert set(got) == set(sets)
     jaccard = lambda x, y: len(sets[x] & sets[y]) / len(sets[x] | sets[y])
@@ -154,8 +154,8 @@ def test_crowded_buckets_lose_no_link(spark, monkeypatch):
         for x in rng.sample(sorted(base), rng.randint(0, 6)):
             base.discard(x)
         sets[f"s{n:02}"] = base
-    rows = [(k, sorted(x), [1, 2 + n % 3]) for n, (k, x) in enumerate(sets.items())]
-    got = dict(map(tuple, provenance.shape_clusters(spark.createDataFrame(rows, "shape string, shingles array<int>, bands array<long>")).collect()))
+    rows = [(k, sorted(x), provenance.bit_map(np.array(sorted(x)) * 97), [1, 2 + n % 3]) for n, (k, x) in enumerate(sets.items())]
+    got = dict(map(tuple, provenance.shape_clusters(spark.createDataFrame(rows, "shape string, shingles array<int>, bits array<long>, bands array<long>")).collect()))
     root = {k: k for k in sets}
 
     def find(x):
