@@ -37,8 +37,3 @@ def normalize_id(entity_id: Column) -> Column:
 def encode_path(path: Column) -> Column:
     """Slashes of either kind as `|`, the form used in ordered keys."""
     return F.translate(path, "/\\", "||")
-
-
-def decode_path(encoded: Column) -> Column:
-    """`|` as `/`; a `\\` or `|` of the original path does not come back."""
-    return F.translate(encoded, "|", "/")

@@ -31,6 +31,15 @@ def feature_events(actions: DataFrame) -> DataFrame:
     )
 
 
+def deliveries(events: DataFrame) -> DataFrame:
+    """(id, first, last): of each id the versions delivered first and last, a null logged_us being before all others.
+
+    Those in between are inserted and retracted again, so they change nothing. One aggregation with map-side combine.
+    """
+    rest = F.struct(*[c for c in events.columns if c != "id"])
+    return events.groupBy("id").agg(F.min(rest).alias("first"), F.max(rest).alias("last"))
+
+
 def last_versions(events: DataFrame) -> DataFrame:
     """Of each id the version delivered last; equal versions fall together."""
     rest = [c for c in events.columns if c != "id"]
@@ -50,12 +59,14 @@ def signed_deltas(known: DataFrame, arrived: DataFrame) -> DataFrame:
     """The changes from ``known`` (last versions so far) by ``arrived`` (later deliveries): +1 rows and -1 rows.
 
     A version that only came again unchanged still retracts and inserts, as its content isn't compared.
-    An arrival older than the known version changes nothing.
+    An arrival older than the known version changes nothing; a null logged_us is older than all others. Only the
+    known versions of ids that arrive again are joined.
     """
     new = last_versions(arrived)
     rest = [c for c in known.columns if c != "id"]
-    both = known.select("id", F.struct(*rest).alias("old")).join(new.select("id", F.struct(*rest).alias("new")), "id", "right")
-    both = both.where(F.col("old").isNull() | (F.col("old.logged_us") < F.col("new.logged_us")))
+    before = known.join(new.select("id"), "id", "left_semi").select("id", F.struct(*rest).alias("old"))
+    both = new.select("id", F.struct(*rest).alias("new")).join(before, "id", "left")
+    both = both.where(F.col("old").isNull() | (F.col("old") < F.col("new")))
     signed = F.explode(
         F.filter(
             F.array(F.struct(F.col("old").alias("v"), F.lit(-1).alias("sign")), F.struct(F.col("new").alias("v"), F.lit(1).alias("sign"))),

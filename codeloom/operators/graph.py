@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.paths import id_name
 from codeloom.functions.text import name_score, query_tokens
-from codeloom.session import materialize
+from codeloom.session import discard, materialize
 from codeloom.sources.tables import current_entities
 
 COMPACT_EVERY = 8
@@ -144,7 +144,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        last, edges = edges, materialize(small.unionByName(least.withColumnRenamed("m", "v")).distinct())
+        discard(last)
         now = checksum(edges)
         if now == before:
             break

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeloom.sources.tables import current_edges, current_entities
 
 SHOWN = ["id", "name", "entity_type", "file_path", "line_start", "line_end", "language"]
-BLOCK = 1000
+BLOCK, SALTS = 1000, 32
 
 
 def entity_by_id(entities: DataFrame, entity_id: str) -> DataFrame:
@@ -24,6 +24,11 @@ def entities_by_name(entities: DataFrame, name: str) -> DataFrame:
     return current_entities(entities.join(ids, "id", "left_semi"), SHOWN).where(F.col("name") == name).orderBy("id")
 
 
+def entities_with_prefix(entities: DataFrame, prefix: str) -> DataFrame:
+    """The current entities whose id begins with the prefix, ordered by id; the test reaches the scan."""
+    return current_entities(entities.where(F.col("id").startswith(prefix)), SHOWN).orderBy("id")
+
+
 def entities_in_file(entities: DataFrame, path: str) -> DataFrame:
     return current_entities(entities.where(F.col("file_path") == path), SHOWN)
 
@@ -100,14 +105,18 @@ def adjacency(edges: DataFrame, by: str, block: int = BLOCK) -> DataFrame:
     """(id, block_no, n, neighbours): the neighbours of each id, in blocks of about ``block``.
 
     ``by`` is src for callees, dst for callers. A hub has many blocks, so no list and no task grows with it;
-    neighbours are told apart by their md5.
+    neighbours are told apart by their md5. Only ids with more than one block are joined, each spread over
+    SALTS rows, so that a hub's edges don't meet in one task before they have their blocks.
     """
     other = "dst" if by == "src" else "src"
     pairs = current_edges(edges)
     degree = pairs.groupBy(by).agg(F.count(F.lit(1)).alias("degree"))
-    blocks = F.ceil(F.col("degree") / F.lit(block)).cast("long")
+    heavy = degree.where(F.col("degree") > block).select(F.col(by).alias("hub"), F.ceil(F.col("degree") / F.lit(block)).cast("long").alias("blocks"))
+    heavy = heavy.withColumn("hub_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     place = F.conv(F.substring(F.md5(F.col(other).cast("binary")), 1, 6), 16, 10).cast("long")
-    small = pairs.join(degree, by).withColumn("block_no", F.pmod(place, blocks))
+    salt = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
+    small = pairs.join(heavy, (F.col(by) == F.col("hub")) & (salt == F.col("hub_salt")), "left")
+    small = small.withColumn("block_no", F.pmod(place, F.coalesce("blocks", F.lit(1).cast("long"))))
     return (
         small.groupBy(F.col(by).alias("id"), "block_no")
         .agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list(other)), ",").alias("neighbours"))

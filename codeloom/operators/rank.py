@@ -14,7 +14,8 @@ from codeloom.session import materialize
 from codeloom.sources.tables import current_entities
 
 RECENT_FILES = 50
-STALE = "File has pending changes"
+#: Fixed value: the warning beside files that changed after they were indexed.
+STALE = "File has pending changes -re-indexing in progress"
 
 
 def recency(actions: DataFrame, as_of_us: int | None = None) -> DataFrame:
@@ -87,13 +88,18 @@ def ranked_query(entities: DataFrame, actions: DataFrame, query: str, k: int, st
     A blank query or k of 0 gives no rows. With ``use_prefilter`` only entities that do well by id are scored
     in full, so a documentation-only match can be missed; without it all are.
     """
-    query = query.strip()
-    nodes = current_entities(entities, ["id", "name", "file_path", "docstring", "calls", "called_by"])
+    query, columns = query.strip(), ["id", "name", "file_path", "docstring", "calls", "called_by"]
+    chosen = None
     if not query or k <= 0:
-        nodes, k = nodes.limit(0), 0
+        nodes, k = current_entities(entities.where("false"), columns), 0
+    elif use_prefilter:
+        # ids alone choose the candidates; the other columns are read for these and what they call
+        chosen = materialize(prefilter(current_entities(entities, ["id"]), query, k))
+        asked = current_entities(entities.join(F.broadcast(chosen.select("id")), "id", "left_semi"), ["id", "calls"])
+        around = asked.select(F.explode(F.concat(F.array("id"), F.coalesce("calls", F.array().cast("array<string>")))).alias("id"))
+        nodes = materialize(current_entities(entities.join(around.distinct(), "id", "left_semi"), columns))
     else:
-        nodes = materialize(nodes)
-    chosen = prefilter(nodes, query, k) if use_prefilter else None
+        nodes = materialize(current_entities(entities, columns))
     scored = score_entities(nodes, query, recency(actions, as_of_us), chosen).where("score > 0")
     ranked = rank_files(scored, k)
     if stale is None:

@@ -6,7 +6,6 @@ The tables of an export are written by Spark; the driver only fills templates wi
 from __future__ import annotations
 
 import html
-import json
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,18 +20,19 @@ def export_json(entities: DataFrame, edges: DataFrame, out: str) -> None:
     links.write.mode("overwrite").json(f"{out}/links")
 
 
-def neighbourhood_html(nodes: DataFrame, links: DataFrame, most: int = 2000) -> str:
-    """A page with the graph as data for a viewer: the ``most`` best connected nodes and the links among them.
+def export_html(entities: DataFrame, edges: DataFrame, out: str) -> str:
+    """Writes the whole graph as script files below ``out`` and returns the page that loads them, to be saved there.
 
-    A browser shows a few thousand nodes at most, so the page holds a neighbourhood, not the whole graph.
+    Spark writes a call per node and link, in as many files as there are partitions; the page only names the files.
     """
-    ends = links.select(F.explode(F.array("source", "target")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    top = ends.orderBy(F.desc("n"), "id").limit(most).select("id")
-    shown = nodes.join(top, "id", "left_semi")
-    among = links.join(top.withColumnRenamed("id", "source"), "source", "left_semi").join(top.withColumnRenamed("id", "target"), "target", "left_semi")
-    data = {"nodes": [r.asDict() for r in shown.collect()], "links": [r.asDict() for r in among.limit(20 * most).collect()]}
-    body = json.dumps(data).replace("<", "\\u003c")
-    return f'<!doctype html><meta charset="utf-8"><title>Call graph</title><script type="application/json" id="graph">{body}</script>'
+    parts = []
+    for name, df in zip(("nodes", "links"), lookup.nodes_and_links(entities, edges)):
+        row = F.regexp_replace(F.to_json(F.struct(*df.columns)), "<", "\\\\u003c")
+        df.select(F.concat(F.lit(f"graph.{name}.push("), row, F.lit(");")).alias("value")).write.mode("overwrite").text(f"{out}/{name}")
+        files = df.sparkSession.read.text(f"{out}/{name}").inputFiles()
+        parts += [f'<script src="{name}/{path.rsplit("/", 1)[-1]}"></script>' for path in sorted(files)]
+    head = '<!doctype html><meta charset="utf-8"><title>Call graph</title><script>const graph = {nodes: [], links: []};</script>'
+    return "\n".join([head, *parts]) + "\n"
 
 
 def markdown_report(entities: DataFrame, edges: DataFrame, title: str) -> str:

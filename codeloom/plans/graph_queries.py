@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions import text
+from codeloom.functions import paths, text
 from codeloom.operators import graph, history, lookup, rank
 from codeloom.plans.base import CURRENT, CURRENT_RECURSIVE, query
 from codeloom.sources.tables import current_edges, current_entities, load
@@ -37,6 +37,27 @@ def _most_calling(edges: DataFrame, by: str, n: int = 1) -> DataFrame:
 # scans, lookups, neighbours
 
 
+@query(CURRENT + f"select {SHOWN} from ce where starts_with(id, 'src/')")
+def prefix_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The current entities below one folder, by the prefix of their ids."""
+    return lookup.entities_with_prefix(_e(spark, d), "src/").fillna(UNKNOWN, ["line_end"])
+
+
+@query("select id, case when contains(id, '::') then replace(split_part(id, '::', 1), '\\', '/') || substr(id, length(split_part(id, '::', 1)) + 1) else replace(id, '\\', '/') end as normal from (select entity_id as id from actions union select id from entities union select replace(id, '/', '\\') from entities) where id is not null")
+def normalized_ids(spark: SparkSession, d: str) -> DataFrame:
+    """All ids of the log and the graph, and the graph's written with backslashes, in one form."""
+    ids = _e(spark, d).select("id")
+    windows = ids.select(F.translate("id", "/", "\\").alias("id"))
+    all_ids = _a(spark, d).select(F.col("entity_id").alias("id")).unionByName(ids).unionByName(windows).where("id is not null").distinct()
+    return all_ids.select("id", paths.normalize_id(F.col("id")).alias("normal"))
+
+
+@query(CURRENT + "select id, session_id, action_type, file_path from a where id = (select min(id) from actions)")
+def get_action(spark: SparkSession, d: str) -> DataFrame:
+    first = _a(spark, d).agg(F.min("id")).first()[0]
+    return history.action_by_id(_a(spark, d), first).select("id", "session_id", "action_type", "file_path")
+
+
 @query(CURRENT + f"select {SHOWN} from ce")
 def entities_scan(spark: SparkSession, d: str) -> DataFrame:
     return current_entities(_e(spark, d), lookup.SHOWN).fillna(UNKNOWN, ["line_end"])

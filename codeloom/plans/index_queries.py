@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import resolve, store
-from codeloom.plans.base import CURRENT, query
-from codeloom.plans.graph_queries import FILE
-from codeloom.session import materialize
+from codeloom.functions.paths import clean_path
+from codeloom.operators import lookup, rank, resolve, store
+from codeloom.plans.base import CLEAN_PATH, CURRENT, query
+from codeloom.plans.graph_queries import ASK, FILE, K
+from codeloom.session import scratch_dir
 from codeloom.sources import trees
 from codeloom.sources.tables import current_edges, current_entities, load
 from codeloom.streaming import jobs
@@ -42,12 +45,18 @@ def module_names(spark: SparkSession, d: str) -> DataFrame:
     return files.withColumn("module", trees.module_name(F.col("file_path")))
 
 
-@query("select distinct id, name, entity_type, file_path, line_start from entities")
+@query()
 def extract_entities(spark: SparkSession, d: str) -> DataFrame:
-    """From the texts of the files that the entities table knows."""
-    known = load(spark, d, "entities").select("file_path").distinct()
-    files = load(spark, d, "source_files").join(known, "file_path", "left_semi")
-    return trees.extract_entities(files).select("id", "name", "entity_type", "file_path", "line_start")
+    """Everything declared in the source files."""
+    return trees.extract_entities(load(spark, d, "source_files"))
+
+
+@query("select distinct id, name, entity_type, file_path, line_start, true as extracted from entities")
+def extracted_known(spark: SparkSession, d: str) -> DataFrame:
+    """For each entity of the table whether scanning all source files finds it, in that line."""
+    columns = ["id", "name", "entity_type", "file_path", "line_start"]
+    found = trees.extract_entities(load(spark, d, "source_files")).select(columns).distinct().withColumn("extracted", F.lit(True))
+    return load(spark, d, "entities").select(columns).distinct().join(found, columns, "left").fillna(False, ["extracted"])
 
 
 @query()
@@ -58,17 +67,49 @@ def extract_imports(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def resolve_imports(spark: SparkSession, d: str) -> DataFrame:
     """Edges between files that imports give, from the texts alone."""
-    files = load(spark, d, "source_files")
-    entities, imports = materialize(trees.extract_entities(files)), materialize(trees.extract_imports(files))
-    return resolve.resolve_imports(entities, imports)
+    return resolve.resolve_imports(*trees.extract_all(load(spark, d, "source_files")))
 
 
 @query()
 def index_edges(spark: SparkSession, d: str) -> DataFrame:
     """All edges that indexing the files gives."""
-    files = load(spark, d, "source_files")
-    entities, imports = materialize(trees.extract_entities(files)), materialize(trees.extract_imports(files))
-    return resolve.call_edges(entities, imports)
+    return resolve.call_edges(*trees.extract_all(load(spark, d, "source_files")))
+
+
+INDEXED_AT = "2024-12-31 00:00:00"
+
+
+def _indexed(spark: SparkSession, d: str) -> store.GraphTables:
+    """A store with the source files as indexed."""
+    tables = store.GraphTables(spark, f"{scratch_dir(spark)}/codeloom/store-{uuid.uuid4().hex}", parts=32)
+    tables.overwrite(*store.index_files(load(spark, d, "source_files"), INDEXED_AT))
+    return tables
+
+
+@query()
+def index_then_search(spark: SparkSession, d: str) -> DataFrame:
+    """The files are indexed and stored, and a question is asked of what was stored."""
+    tables = _indexed(spark, d)
+    found = rank.ranked_query(tables.read("entities"), load(spark, d, "actions"), ASK, K)
+    return found.select("file_path", F.round("score", 6).alias("score"), "n_entities")
+
+
+@query(f"select distinct id, name, entity_type, line_start from entities where file_path = '{FILE}'")
+def index_then_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The files are indexed and stored, and one file's entities are looked up in what was stored."""
+    return lookup.entities_in_file(_indexed(spark, d).read("entities"), FILE).select("id", "name", "entity_type", "line_start")
+
+
+@query(CURRENT.rstrip() + ", l as (select src, dst from g where src in (select id from ce)) select src, dst from l")
+def load_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The graph is stored and loaded again: the edges whose source is an entity."""
+    rows, edges = load(spark, d, "entities"), current_edges(load(spark, d, "edges"))
+    names = [f.split()[0] for f in store.ENTITY_TABLE.replace("array<string>", "x").split(", ")]
+    current = current_entities(rows, [c for c in names if c not in ("row_id", "indexed_at", "deleted_at")])
+    whole = current.withColumns({c: F.lit(None) for c in ("row_id", "indexed_at", "deleted_at")}).select(*names)
+    tables = store.GraphTables(spark, f"{scratch_dir(spark)}/codeloom/store-{uuid.uuid4().hex}", parts=32)
+    tables.overwrite(whole, edges)
+    return tables.load()[1]
 
 
 @query(
@@ -141,3 +182,56 @@ def stream_reconcile(spark: SparkSession, d: str) -> DataFrame:
     events = last.where("kind = 'deleted'").withColumn("at", F.lit(0))
     contents = load(spark, d, "source_files").select("file_path", "language", "content")
     return jobs.reconcile(entities, current_edges(load(spark, d, "edges")), events, contents)[0].select("id")
+
+
+@query()
+def stream_reconcile_tree(spark: SparkSession, d: str) -> DataFrame:
+    """The entities after a stream of events: of the indexed files those with an even name hash were modified, a third of these are gone."""
+    files = load(spark, d, "source_files").select("file_path", "language", "content")
+    tables = _indexed(spark, d)
+    draw = F.pmod(F.xxhash64("file_path"), F.lit(6))
+    landed = f"{scratch_dir(spark)}/codeloom/events-{uuid.uuid4().hex}"
+    paths = files.where("file_path is not null").select("file_path").distinct()
+    events = paths.where(draw % 2 == 0).select("file_path", (draw != 4).alias("exists"), F.lit("2025-01-01 00:00:00").cast("timestamp_ntz").alias("at"))
+    after = spark.createDataFrame([("after.py", True, "2025-01-02 00:00:00")], "file_path string, exists boolean, at string")  # moves the watermark on
+    events.unionByName(after.withColumn("at", F.col("at").cast("timestamp_ntz"))).write.json(landed)
+    left = files.where(~((draw == 2) | (draw == 4)))  # 2: gone by the time of the event
+    for _ in range(2):
+        stream = jobs.debounced(jobs.file_events(spark, landed))
+        jobs.reconciler(tables, stream, lambda: left, f"{landed}-checkpoint", INDEXED_AT).awaitTermination()
+    return tables.read("entities").select("id", "file_path", "line_start", F.size("called_by").alias("n_callers"))
+
+
+@query(
+    f"""with e as (select file_path, action_type <> 'error' as here, ts from (select {CLEAN_PATH} as file_path, action_type, ts from actions) where file_path is not null and ts is not null
+    and regexp_matches(file_path, '[^/\\]\\.(rs|py|js|jsx|mjs|cjs|ts|tsx|mts|cts|go)$')),
+  m as (select *, case when ts < lag(ts) over w + interval 10 minutes then 0 else 1 end as fresh from e window w as (partition by file_path order by ts)),
+  s as (select *, sum(fresh) over (partition by file_path order by ts rows unbounded preceding) as burst from m)
+select file_path, case when max(struct_pack(ts := ts, here := here)).here then 'modified' else 'deleted' end as kind, max(ts) as at from s group by file_path, burst"""
+)
+def debounced_events(spark: SparkSession, d: str) -> DataFrame:
+    """The log read as file events (an error stands for a file that is gone): one event for each burst of ten minutes."""
+    rows = load(spark, d, "actions").select(clean_path(F.col("file_path")).alias("file_path"), (F.col("action_type") != "error").alias("exists"), F.col("ts").alias("at"))
+    return jobs.debounced(rows.where("file_path is not null and at is not null"), "10 minutes")
+
+
+@query(CURRENT + "select id, session_id, file_path from a where action_type = 'error'")
+def stream_error_log(spark: SparkSession, d: str) -> DataFrame:
+    """The errors that the log sink writes apart, read back."""
+    base = f"{scratch_dir(spark)}/codeloom/log-{uuid.uuid4().hex}"
+    jobs.log_sink(jobs.action_stream(spark, f"{d}/actions.parquet"), f"{base}/log", f"{base}/errors", f"{base}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{base}/errors").select("id", "session_id", "file_path")
+
+
+@query(
+    CURRENT.rstrip()
+    + """, m as (select session_id, ts, case when ts < lag(ts) over w + interval 30 minutes then 0 else 1 end as fresh from a where ts is not null window w as (partition by session_id order by ts)),
+  s as (select *, sum(fresh) over (partition by session_id order by ts rows unbounded preceding) as burst from m)
+select session_id, min(ts) as started, max(ts) + interval 30 minutes as ended, count(*) as n from s where session_id is not null group by session_id, burst"""
+)
+def stream_session_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Bursts of each session, counted over the whole log by the stream's operator."""
+    rows = load(spark, d, "actions").where("id is not null")
+    last = rows.groupBy("id").agg(F.max_by(F.struct("session_id", "ts"), "logged_at").alias("a")).select("a.*")
+    found = jobs.session_counts(last.where("session_id is not null and ts is not null").withColumn("event_at", F.col("ts")))
+    return found

@@ -99,15 +99,12 @@ with v as (
 
 
 def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """The state kept by deltas: everything logged before the last tenth of the period, then the rest as changes."""
+    """The state kept by deltas: every action as it was delivered first, then all later deliveries as changes (-1 and +1)."""
     actions = load(spark, sf_dir, "actions")
-    as_of, first, last = actions.select(
-        F.max(features.micros(F.col("ts"))), F.min(features.micros(F.col("logged_at"))), F.max(features.micros(F.col("logged_at")))
-    ).first()
-    cut = 0 if last is None else last - (last - first) // 10
-    events = features.feature_events(actions)
-    known = materialize(features.last_versions(events.where(F.col("logged_us") < cut)))
-    deltas = materialize(features.signed_deltas(known, events.where(F.col("logged_us") >= cut)))
+    as_of = actions.select(F.max(features.micros(F.col("ts")))).first()[0]
+    both = materialize(features.deliveries(features.feature_events(actions)))
+    known = both.select("id", "first.*")
+    deltas = materialize(features.signed_deltas(known, both.where("first < last").select("id", "last.*")))
     return features.apply_deltas(features.initial_state(known), known, deltas), as_of or 0
 
 

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SCRATCH: dict[str, str] = {}
+_WRITTEN: dict[str, set[str]] = {}
 
 
 def build_session(app: str = "codeloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -38,19 +39,35 @@ def scratch_dir(spark: SparkSession) -> str:
     return _SCRATCH.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="spark-codeloom-"))
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Points checkpoint() at the scratch folder, if nothing has done so."""
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(scratch_dir(spark))
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Writes df once as Parquet to the shared folder and reads it back.
 
     Several consumers can then read it without running its plan again, and lost executors cost no
-    recomputation. The files stay as long as the folder does; the folder's owner clears it.
+    recomputation. The files stay until discard() or cleanup(): a result that is still to be read may need them.
     """
     path = f"{scratch_dir(df.sparkSession)}/codeloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes what materialize() wrote for these, once nothing will read them again; other DataFrames are left alone."""
+    for df in frames:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            _delete(df.sparkSession, path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes all that this application's operators wrote to the scratch folder. Read or write results before."""
+    for path in sorted(_WRITTEN.get(spark.sparkContext.applicationId, set())):
+        _delete(spark, path)

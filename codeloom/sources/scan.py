@@ -1,7 +1,8 @@
 """Functions, classes, calls and comments of one source text (Python, Rust, Go, JavaScript, TypeScript).
 
-A regular expression per language steps over strings and comments and stops at declarations and braces.
-That finds declarations in code as people write it; it is no parser (no macros, no generated templates).
+Strings and comments are blanked first, in one pass; declarations and the brackets that end them are then looked
+for in what is left, at the same places. That finds declarations in code as people write it; it is no parser (no
+macros, no generated templates).
 Everything across files (symbols, imports, edges) is done with joins, see operators/resolve.py.
 """
 
@@ -22,33 +23,31 @@ LANGUAGE_OF = {e: lang for lang, es in EXTENSIONS.items() for e in es}
 _STRINGS = r'"(?:\\.|[^"\\\n])*"'
 #: An unclosed comment reaches to the end, so that it is looked through once.
 _C_COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
+_JS_REGEX = r"(?:(?<=[=(,:;!&|?{}\[])|(?<=\breturn))[ \t]*/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/"
+#: What is no code: strings and comments (and patterns in JavaScript).
+_SKIPPED = {
+    "python": re.compile(r"(?:\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\.|[^\\])*?(?:'''|\Z))|" + _STRINGS + r"|'(?:\\.|[^'\\\n])*'|#[^\n]*", re.S),
+    "rust": re.compile(_C_COMMENT + r"|b?r(#*)\".*?(?:\"\1|\Z)|b?\"(?:\\.|[^\"\\])*\"|'(?:\\[^\n']+|[^'\\\n])'", re.S),
+    "go": re.compile(_C_COMMENT + "|" + _STRINGS + r"|`[^`]*`|'(?:\\[^\n']+|[^'\\\n])'", re.S),
+    "javascript": re.compile(_C_COMMENT + "|" + _STRINGS + r"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`|" + _JS_REGEX, re.S),
+}
+_SKIPPED["typescript"] = _SKIPPED["javascript"]
 _TOKENS = {
-    "python": re.compile(
-        r"(?P<skip>(?:\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\.|[^\\])*?(?:'''|\Z))|" + _STRINGS + r"|'(?:\\.|[^'\\\n])*'|#[^\n]*)"
-        r"|^(?P<indent>[ \t]*)(?:async[ \t]+)?(?P<kind>def|class)[ \t]+(?P<name>\w+)",
-        re.M | re.S,
-    ),
-    "rust": re.compile(
-        r"(?P<skip>" + _C_COMMENT + r"|b?r(#*)\".*?(?:\"\2|\Z)|b?\"(?:\\.|[^\"\\])*\"|'(?:\\[^\n']+|[^'\\\n])')"
-        r"|\b(?P<owner>impl|trait)\b(?P<head>[^;{]*)\{|\bfn\s+(?P<name>\w+)|(?P<brace>[{};])",
-        re.S,
-    ),
+    "python": re.compile(r"^(?P<indent>[ \t]*)(?:async[ \t]+)?(?P<kind>def|class)[ \t]+(?P<name>\w+)", re.M),
+    "rust": re.compile(r"\b(?P<owner>impl|trait)\b(?P<head>[^;{]*)\{|\bfn\s+(?P<name>\w+)|(?P<brace>[{};])"),
     "go": re.compile(
-        r"(?P<skip>" + _C_COMMENT + "|" + _STRINGS + r"|`[^`]*`|'(?:\\[^\n']+|[^'\\\n])')"
-        r"|^func\s+(?:\((?P<recv>[^)]*)\)\s*)?(?P<name>\w+)|(?P<brace>[{}])",
-        re.M | re.S,
+        r"^func\s+(?:\((?P<recv>[^)]*)\)\s*)?(?P<name>\w+)|^type\s+(?P<declares>\w+)(?:\[[^\]]*\])?\s+interface\s*\{|^[ \t]+(?P<method>[A-Za-z]\w*)\(|(?P<brace>[{}])", re.M
     ),
-    "js": re.compile(
-        r"(?P<skip>" + _C_COMMENT + "|" + _STRINGS + r"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)"
-        r"|\bclass\s+(?P<owner>[\w$]+)[^;{]*\{"
+    "javascript": re.compile(
+        r"\bclass\s+(?P<owner>[\w$]+)(?P<head>[^;{]*)\{|\binterface\s+(?P<declares>[\w$]+)(?P<more>[^;{=]*)\{"
         r"|\bfunction\s*\*?\s*(?P<name>[\w$]+)"
         r"|\b(?:const|let|var)\s+(?P<bound>[\w$]+)\s*(?::[^=\n]+)?=\s*(?:async\s+)?(?:function\b|(?:\([^()]*(?:\([^()]*\)[^()]*)*\)|[\w$]+)\s*(?::[^=\n{]+)?=>)"
         r"|^[ \t]*(?:(?:public|private|protected|static|async|readonly|override|get|set|abstract)\s+)*[*#]?(?P<method>[\w$]+)\s*(?:<[^>\n]*>)?\("
         r"|(?P<brace>[{}])",
-        re.M | re.S,
+        re.M,
     ),
 }
-_TOKENS["javascript"] = _TOKENS["typescript"] = _TOKENS["js"]
+_TOKENS["typescript"] = _TOKENS["javascript"]
 _NOT_METHODS = frozenset("if for while switch catch return function with do else new typeof await throw super".split())
 _CALL = {
     "python": re.compile(r"(?:\"\"\"(?:\\.|[^\\])*?(?:\"\"\"|\Z)|'''(?:\\.|[^\\])*?(?:'''|\Z))|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|#[^\n]*|(?<![\w.])(?P<c>[A-Za-z_]\w*(?:\s*\.\s*\w+)*)\s*\(", re.S),
@@ -74,6 +73,16 @@ def is_test_name(name: str) -> bool:
     return bool(re.match(r"test_.", name, re.S)) or (name.startswith("test") and name[4:5].isupper())
 
 
+def blanked(text: str, language: str) -> str:
+    """The text with spaces for strings and comments; line breaks and all places stay. Python's comments keep their mark."""
+
+    def blank(m: re.Match) -> str:
+        out = re.sub(r"[^\n]", " ", m.group())
+        return "#" + out[1:] if language == "python" and m.group().startswith("#") else out
+
+    return _SKIPPED[language].sub(blank, text)
+
+
 def _close(text: str, at: int, opened: str, closed: str) -> int:
     """The place behind the bracket that closes the one at ``at``."""
     depth = 0
@@ -84,34 +93,40 @@ def _close(text: str, at: int, opened: str, closed: str) -> int:
     return len(text)
 
 
-def _python(text: str) -> list[dict]:
-    out, stack = [], []  # stack: (indent, kind, name)
-    for m in _TOKENS["python"].finditer(text):
-        if m.group("skip") is not None:
-            continue
+_BASES = re.compile(r"[ \t]*\(([^()]*)\)")
+
+
+def _python(text: str, bare: str) -> list[dict]:
+    out, stack = [], []  # stack: (indent, kind, name, bases)
+    for m in _TOKENS["python"].finditer(bare):
         indent = len(m["indent"].expandtabs(8))
         while stack and stack[-1][0] >= indent:
             stack.pop()
-        inside = any(k == "def" for _, k, _ in stack)
+        inside = any(x[1] == "def" for x in stack)
         owner = stack[-1][2] if stack and stack[-1][1] == "class" else ""
-        stack.append((indent, m["kind"], m["name"]))
+        heads = _BASES.match(bare, m.end()) if m["kind"] == "class" else None
+        stack.append((indent, m["kind"], m["name"], re.findall(r"(\w+)\s*(?:\[[^\]]*\])?\s*(?:,|$)", heads[1]) if heads else []))
         if not inside:
-            out.append({"name": m["name"], "owner": owner if m["kind"] == "def" else "", "kind": m["kind"], "at": m.start("kind"), "indent": indent, "nested": len(stack) > 2})
+            bases = stack[-2][3] if owner else []
+            out.append({"name": m["name"], "owner": owner if m["kind"] == "def" else "", "kind": m["kind"], "at": m.start("kind"), "indent": indent, "within": owner, "bases": bases})
     lines_end = len(text.rstrip())
     for d in out:
         body = re.compile(r"^(?![ \t]{%d,}\S|[ \t]*$|[ \t]*[)\]])" % (d["indent"] + 1), re.M)
-        start = text.find("\n", _close(text, text.find("(", d["at"]), "(", ")") if d["kind"] == "def" else d["at"])
-        m = body.search(text, start + 1) if start >= 0 else None
+        opened = re.compile(r"\w+[ \t]+\w+[ \t]*(?:\[[^\]]*\])?[ \t]*\(").match(bare, d["at"])
+        d["head"] = _close(bare, opened.end() - 1, "(", ")") if opened else d["at"]
+        start = text.find("\n", d["head"])
+        m = body.search(bare, start + 1) if start >= 0 else None
         d["end"] = len(text[: m.start() if m else lines_end].rstrip())
         d["body"] = True
     return out
 
 
 def _braced(text: str, language: str) -> list[dict]:
-    out, owners, depth = [], [], 0  # owners: (depth inside, name)
+    """The declarations of a blanked text."""
+    out, owners, depth = [], [], 0  # owners: (depth inside, owner in ids, type, bases, only declares)
     until = -1  # inside this function's body nothing is a declaration
     for m in _TOKENS[language].finditer(text):
-        if m.group("skip") is not None or m.start() < until:
+        if m.start() < until:
             continue
         kind = m.lastgroup
         if kind == "brace":
@@ -120,32 +135,40 @@ def _braced(text: str, language: str) -> list[dict]:
                 owners.pop()
             continue
         found = m.groupdict()
-        if found.get("owner"):
+        if found.get("owner") or found.get("declares"):
             if language == "rust":
                 head = re.sub(r"<[^<>]*>", "", re.sub(r"<[^<>]*>", "", m["head"])).split(" where ")[0]
                 name = re.findall(r"\w+", head.split(" for ")[-1])
-                name = name[-1] if " for " in head or m["owner"] == "impl" else name[0]
-                owners.append((depth + 1, name if m["owner"] == "impl" else ""))
+                if m["owner"] == "impl":
+                    of = re.findall(r"\w+", head.split(" for ")[0])[-1:] if " for " in head else []
+                    owners.append((depth + 1, name[-1] if name else "", name[-1] if name else "", of, False))
+                else:
+                    owners.append((depth + 1, "", name[0] if name else "", re.findall(r"\w+", head.partition(":")[2]), False))
+            elif found.get("declares"):
+                owners.append((depth + 1, m["declares"], m["declares"], re.findall(r"[\w$]+", found.get("more") or "")[1:], True))
             else:
                 name = m["owner"]
-                owners.append((depth + 1, name))
-                out.append({"name": name, "owner": "", "kind": "class", "at": m.start(), "end": _close(text, m.end() - 1, "{", "}"), "body": True})
+                of = [x for x in re.findall(r"[\w$]+", re.sub(r"<[^<>]*>", "", m["head"])) if x not in ("extends", "implements")]
+                owners.append((depth + 1, name, name, of, False))
+                out.append({"name": name, "owner": "", "kind": "class", "at": m.start(), "end": _close(text, m.end() - 1, "{", "}"), "body": True, "within": "", "bases": []})
             depth += 1
             continue
         name = found.get("name") or found.get("bound") or found.get("method")
         if not name:
             continue
-        owner = owners[-1][1] if owners and owners[-1][0] == depth else ""
+        _, owner, within, bases, declares = owners[-1] if owners and owners[-1][0] == depth else (0, "", "", [], False)
         if found.get("method") and (not owner or name in _NOT_METHODS):
             continue
         if found.get("recv") is not None:
             types = re.findall(r"\w+", re.sub(r"\[[^\]]*\]", "", m["recv"]))
-            owner = types[-1] if types else ""
+            owner = within = types[-1] if types else ""
         at = m.start(next(k for k in ("name", "bound", "method") if found.get(k)))
         opened = text.find("(", at)
         after = _close(text, opened, "(", ")") if opened >= 0 and not found.get("bound") else m.end()
-        brace = re.compile(r"[{;]").search(text, after)
-        if found.get("bound"):
+        brace = re.compile(r"[{;\n]" if declares else r"[{;]").search(text, after)
+        if declares:
+            stop, body = (brace.start() if brace else after), False
+        elif found.get("bound"):
             arrow = re.compile(r"\s*\{").match(text, m.end())
             stop = _close(text, arrow.end() - 1, "{", "}") if arrow or "function" in m.group() and brace else text.find("\n", m.end())
             if not arrow and "function" in m.group() and brace:
@@ -155,14 +178,17 @@ def _braced(text: str, language: str) -> list[dict]:
             stop, body = _close(text, brace.start(), "{", "}"), True
         else:
             stop, body = (brace.end() if brace else after), False
-        out.append({"name": name, "owner": owner, "kind": "def", "at": at, "end": stop, "body": body})
+        out.append({"name": name, "owner": owner, "kind": "def", "at": at, "end": stop, "body": body, "within": within, "bases": bases, "interface": declares})
         until = stop
     return out
 
 
-def scan(path: str, text: str, language: str | None = None, calls: bool = False) -> list[dict]:
+def scan(path: str, text: str, language: str | None = None, calls: bool = False, interfaces: bool = False) -> list[dict]:
     """The declarations of a text: id, name, owner, entity_type, line_start, line_end, signature, body, doc, code (and calls).
 
+    ``within`` is the type, trait or interface around a method, ``bases`` what that type extends or implements. With
+    ``interfaces`` the methods that interfaces only declare come too.
+
     Lines count from 1; CRLF is read as LF. An unknown language gives none. Nested functions belong to the
     function around them.
     """
@@ -170,7 +196,8 @@ def scan(path: str, text: str, language: str | None = None, calls: bool = False)
     if not language or not text:
         return []
     text = text.replace("\r\n", "\n")
-    found = _python(text) if language == "python" else _braced(text, language)
+    bare = blanked(text, language)
+    found = _python(text, bare) if language == "python" else _braced(bare, language)
     lines = text.split("\n")
     breaks = [0]
     for line in lines:
@@ -178,20 +205,21 @@ def scan(path: str, text: str, language: str | None = None, calls: bool = False)
     out, row = [], 0
     named = {text.find(d["name"], d["at"]) for d in found}
     for d in sorted(found, key=lambda d: d["at"]):
+        if d.get("interface") and not interfaces:
+            continue
         while breaks[row + 1] <= d["at"]:
             row += 1
         last = row
         while breaks[last + 1] < d["end"]:
             last += 1
         start = breaks[row]
-        head = text[d["at"] : d["end"]]
-        args = head[head.find("(") : _close(head, head.find("("), "(", ")")] if "(" in head else ""
+        opened = bare.find("(", d["at"], d["end"])
+        args = text[opened : _close(bare, opened, "(", ")")] if opened >= 0 else ""
         owner = d["owner"]
         is_class = d["kind"] == "class"
-        above = lines[max(0, row - 12) : row]
         test = is_test_name(d["name"])
         if language == "rust":
-            test = any(re.match(r"\s*#\[\s*(?:\w+\s*::\s*)*(?:test|rstest|wasm_bindgen_test)\s*[\](]", x) for x in _attributes(above))
+            test = any(re.match(r"\s*#\[\s*(?:\w+\s*::\s*)*(?:test|rstest|wasm_bindgen_test)\s*[\](]", x) for x in _attributes(lines, row))
         elif language == "go":
             test = bool(re.match(r"Test(?![a-z])", d["name"])) and "testing.T" in args
         entity = {
@@ -203,7 +231,9 @@ def scan(path: str, text: str, language: str | None = None, calls: bool = False)
             "line_end": last + 1,
             "signature": signature(args, language),
             "body": d["body"],
-            "doc": None if is_class else doc_comment(lines, row, text, d["at"], language),
+            "within": d["within"],
+            "bases": d["bases"],
+            "doc": doc_comment(lines, row, text, bare, d.get("head", d["at"]), language),
             "code": text[start : d["end"]],
         }
         if calls:
@@ -229,11 +259,11 @@ def called(text: str, start: int, end: int, language: str, named: set[int]) -> l
     return list(out)
 
 
-def _attributes(above: list[str]) -> list[str]:
-    """The Rust attribute lines directly above, comments between them passed over."""
+def _attributes(lines: list[str], row: int) -> list[str]:
+    """The Rust attribute lines directly above a row, comments between them passed over."""
     out = []
-    for line in reversed(above):
-        s = line.strip()
+    for i in range(row - 1, -1, -1):
+        s = lines[i].strip()
         if s.startswith("#["):
             out.append(s)
         elif not (s.startswith(("//", "/*", "*")) or s.endswith("*/")):
@@ -268,16 +298,17 @@ def signature(args: str, language: str) -> str:
 _PY_DOC = re.compile(r"(?:[ \t]*(?:#[^\n]*)?\n)*[ \t]*(?P<prefix>[rRuU]?)(?P<q>\"\"\"|'''|\"|')")
 
 
-def doc_comment(lines: list[str], row: int, text: str, at: int, language: str) -> str | None:
+def doc_comment(lines: list[str], row: int, text: str, bare: str, head: int, language: str) -> str | None:
     """The documentation comment of the declaration in line ``row`` (from 0), without its marks; None if there is none.
 
+    ``bare`` is the blanked text, ``head`` the place behind a Python declaration's parameters.
+
     Python: the string that opens the body. Rust: outer doc comments (line, block, attribute) directly above,
     other attributes may stand between. Go: a comment directly above. JavaScript, TypeScript: a ``/** */``
     block directly above, decorators may stand between.
     """
     if language == "python":
-        opened = text.find("(", at)
-        colon = re.compile(r"[^\n:]*(?::(?![ \t]*$)[^\n:]*)*:[ \t]*(?:#[^\n]*)?\n", re.M).match(text, _close(text, opened, "(", ")")) if opened >= 0 else None
+        colon = re.compile(r"[^\n:]*(?::(?![ \t]*(?:#[^\n]*)?$)[^\n:]*)*:[ \t]*(?:#[^\n]*)?\n", re.M).match(bare, head)
         m = _PY_DOC.match(text, colon.end()) if colon else None
         if not m:
             return None

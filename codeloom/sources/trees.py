@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.session import materialize
 from codeloom.sources.imports import imports_of
 from codeloom.sources.scan import EXTENSIONS, scan
 
@@ -28,7 +29,8 @@ def read_tree(spark: SparkSession, root: str, exclude: list[str] | None = None)
     not_excluded.
     """
     base = root.rstrip("/") + "/"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    names = "*.{" + ",".join(WATCHED) + "}"  # the others aren't opened
+    files = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=names).load(base)
     path = F.substring_index(F.col("path"), base, -1)
     rows = files.select(path.alias("file_path"), F.col("content").alias("raw")).where(is_source_file(F.col("file_path")))
     rows = rows.where(not_excluded(F.col("file_path"), exclude or [])).where("is_valid_utf8(cast(raw as string))")
@@ -66,39 +68,50 @@ def module_name(path: Column) -> Column:
     return F.translate(F.ltrim(whole, F.lit("/")), "/", ".")
 
 
-def extract_entities(files: DataFrame) -> DataFrame:
-    """Entities of (file_path, language, content) rows, with the callee texts of each; repeated rows count once."""
+_FACTS = f"{ENTITY_FIELDS}, module_path string, symbol string, alias string, imported_name string, ordinal int"
+
+
+def extract_facts(files: DataFrame) -> DataFrame:
+    """Entities and imports of (file_path, language, content) rows in one pass over the texts.
+
+    A row is an entity (``ordinal`` is null) or an import of ``file_path``, with ``ordinal`` its place in the file.
+    Repeated rows count once, and rows without path or content give none. The texts never move: what they hold is
+    compared, not they themselves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"line_start": pa.int32(), "line_end": pa.int32(), "calls": pa.list_(pa.string())}
-        names = [f.split()[0] for f in ENTITY_FIELDS.split(",")]
+        kinds = {"line_start": pa.int32(), "line_end": pa.int32(), "ordinal": pa.int32(), "calls": pa.list_(pa.string())}
+        names = [f.split()[0] for f in _FACTS.split(",")]
         for batch in batches:
             rows = []
             for path, language, content in zip(*(c.to_pylist() for c in batch.columns)):
-                if path is None or content is None:
-                    continue
-                for d in scan(path, content, language, calls=True):
-                    rows.append(d | {"file_path": path, "docstring": d["doc"]})
-            yield from pa.table(
-                {n: pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names}
-            ).to_batches()
+                rows += [d | {"file_path": path, "docstring": d["doc"]} for d in scan(path, content, language, calls=True)]
+                rows += [d | {"file_path": path, "ordinal": i} for i, d in enumerate(imports_of(path, content, language))]
+            yield from pa.table({n: pa.array([r.get(n) for r in rows], kinds.get(n, pa.string())) for n in names}).to_batches()
+
+    texts = files.where("file_path is not null and content is not null").select("file_path", "language", "content")
+    return texts.mapInArrow(run, _FACTS).distinct().withColumn("language", infer_language(F.col("file_path")))
+
+
+def _entities(facts: DataFrame) -> DataFrame:
+    return facts.where("ordinal is null").select([f.split()[0] for f in ENTITY_FIELDS.replace("array<string>", "x").split(", ")])
+
 
-    found = files.select("file_path", "language", "content").dropDuplicates(["file_path", "content"]).mapInArrow(run, ENTITY_FIELDS)
-    return found.withColumn("language", infer_language(F.col("file_path")))
+def _imports(facts: DataFrame) -> DataFrame:
+    return facts.where("ordinal is not null").select(F.col("file_path").alias("source_file"), "module_path", "symbol", "alias", "imported_name", "ordinal")
+
+
+def extract_entities(files: DataFrame) -> DataFrame:
+    """Entities of (file_path, language, content) rows, with the callee texts of each; repeated rows count once."""
+    return _entities(extract_facts(files))
 
 
 def extract_imports(files: DataFrame) -> DataFrame:
     """Imports of (file_path, language, content) rows; ``ordinal`` is their place in the file."""
+    return _imports(extract_facts(files))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for path, language, content in zip(*(c.to_pylist() for c in batch.columns)):
-                if path is not None and content is not None:
-                    rows += [d | {"source_file": path, "ordinal": i} for i, d in enumerate(imports_of(path, content, language))]
-            names = [f.split()[0] for f in IMPORT_FIELDS.split(", ")]
-            yield from pa.table(
-                {n: pa.array([r[n] for r in rows], pa.int32() if n == "ordinal" else pa.string()) for n in names}
-            ).to_batches()
-
-    return files.select("file_path", "language", "content").dropDuplicates(["file_path", "content"]).mapInArrow(run, IMPORT_FIELDS)
+
+def extract_all(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """extract_entities and extract_imports from one pass, written once."""
+    facts = materialize(extract_facts(files))
+    return _entities(facts), _imports(facts)

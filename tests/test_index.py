@@ -1,8 +1,12 @@
 """Trees, resolution across files, storage and reconciling."""
 
+import os
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.api import CodeGraph
 from codeloom.operators import report, resolve, store
 from codeloom.sources import trees
 from codeloom.streaming import jobs
@@ -19,31 +23,43 @@ def edges_of(files, of):
 
 
 def test_calls_in_a_file(files):
-    assert edges_of(files, {"a.py": "def foo():\n    pass\ndef bar():\n    foo()\n"}) == {("a.py::bar", "a.py::foo")}
+    assert edges_of(files, {"kiln.py": "def heat():\n    pass\ndef fire():\n    heat()\n"}) == {("kiln.py::fire", "kiln.py::heat")}
 
 
 @pytest.mark.parametrize(
     "caller",
     [
-        "from payment import process\ndef go():\n    process()\n",
-        "from payment import process as p\ndef go():\n    p()\n",
-        "import payment\ndef go():\n    payment.process()\n",
+        "from lab.scale import weigh\ndef test_run():\n    weigh()\n",
+        "from lab.scale import weigh as w\ndef test_run():\n    w()\n",
+        "import lab.scale as s\ndef test_run():\n    s.weigh()\n",
+        "from .scale import weigh\ndef test_run():\n    weigh()\n",
+        "from ..lab.scale import weigh\ndef test_run():\n    weigh()\n",
+        "from . import scale\ndef test_run():\n    scale.weigh()\n",
     ],
 )
 def test_calls_through_python_imports(files, caller):
-    assert edges_of(files, {"payment.py": "def process():\n    pass\n", "main.py": caller}) == {("main.py::go", "payment.py::process")}
+    got = edges_of(files, {"lab/scale.py": "def weigh():\n    pass\n", "other/scale.py": "def weigh():\n    pass\n", "lab/bench.py": caller})
+    assert got == {("lab/bench.py::test_run", "lab/scale.py::weigh")}
 
 
 def test_calls_through_rust_and_script_imports(files):
     rust = {"src/auth/token.rs": "pub fn verify() {}\n", "src/main.rs": "use crate::auth::token::verify;\nuse crate::auth::token;\nfn main() { verify(); }\nfn other() { token::verify(); }\n"}
     got = edges_of(files, rust)
     assert got == {("src/main.rs::main", "src/auth/token.rs::verify"), ("src/main.rs::other", "src/auth/token.rs::verify")}
+    near = {"src/a/mod.rs": "pub fn top() {}\n", "src/a/b.rs": "use super::top;\nuse self::c::deep;\nfn f() { top(); deep(); }\n", "src/a/b/c.rs": "pub fn deep() {}\n", "src/z/a.rs": "pub fn top() {}\n"}
+    assert edges_of(files, near) == {("src/a/b.rs::f", "src/a/mod.rs::top"), ("src/a/b.rs::f", "src/a/b/c.rs::deep")}
     script = {"lib/x.js": "export function f() {}\n", "lib/y.js": "import { f as g } from './x';\nfunction h() { g(); }\n"}
     assert edges_of(files, script) == {("lib/y.js::h", "lib/x.js::f")}
+    steps = {"x.js": "export function f() {}\n", "lib/x.js": "export function f() {}\n", "lib/in/deep/y.js": "import { f } from '../../x';\nimport { f as g } from '../../../x';\nfunction h() { f(); }\nfunction i() { g(); }\n"}
+    assert edges_of(files, steps) == {("lib/in/deep/y.js::h", "lib/x.js::f"), ("lib/in/deep/y.js::i", "x.js::f")}
+
+
+def test_relative_imports_never_match_by_the_last_component(files):
+    assert edges_of(files, {"far/x.js": "export function f() {}\n", "lib/y.js": "import { f } from './x';\nfunction h() { f(); }\n"}) == set()
 
 
-def test_unknown_names_give_no_edge(files):
-    assert edges_of(files, {"a.py": "def f():\n    undefined_func()\n"}) == set()
+def test_names_that_nothing_declares_give_no_edge(files):
+    assert edges_of(files, {"kiln.py": "def heat():\n    somewhere_else()\n"}) == set()
 
 
 def test_read_tree(spark, tmp_path):
@@ -72,54 +88,113 @@ def test_symbols_last_wins(spark):
     assert {(r["module"], r["name"]): r["id"] for r in got} == {("a", "f"): "a.py::f", ("b", "f"): "b.py::f"}
 
 
-@pytest.fixture()
-def graph(spark):
-    rows = [("main.rs::run", "run", "function", "main.rs", 1, 2, "rust", None, ["auth.rs::login"]), ("auth.rs::login", "login", "function", "auth.rs", 1, 2, "rust", None, ["db.rs::query"]), ("db.rs::query", "query", "function", "db.rs", 1, 2, "rust", None, [])]
-    entities = spark.createDataFrame(rows, store.EMPTY["entities"])
-    edges = spark.createDataFrame([("main.rs::run", "auth.rs::login"), ("auth.rs::login", "db.rs::query")], "src string, dst string")
-    return entities, edges
-
-
-def test_store_round_trip(spark, graph, tmp_path):
-    s = store.GraphStore(spark, f"file://{tmp_path}/g")
-    with pytest.raises(ValueError):
-        s.load()
-    s.overwrite(*graph, repo_path="r")
-    assert s.read("entities").count() == 3 and s.metadata()["repo_path"] == "r"
-    s.delete(spark.createDataFrame([("auth.rs",)], "file_path string"))
-    assert s.read("edges").count() == 0 and s.read("entities").count() == 2
-    changed = graph[0].where("id = 'auth.rs::login'").withColumn("calls", F.array(F.lit("db.rs::query"), F.lit("raw_name")))
-    s.upsert(changed)
-    s.upsert(changed)
-    assert [tuple(r) for r in s.read("edges").collect()] == [("auth.rs::login", "db.rs::query")]
+TREE = {
+    "shop/cart.py": "from shop.price import total\n\ndef fill():\n    total()\n    check()\n\ndef check():\n    pass\n",
+    "shop/price.py": "from shop.tax import rate\n\ndef total():\n    rate()\n",
+    "shop/tax.py": "def rate():\n    pass\n",
+    "shop/gone.py": "from shop.tax import rate\n\ndef old():\n    rate()\n",
+}
+AT = "2024-05-01 00:00:00"
+
+
+def state(entities, edges):
+    """What lookups see of a graph."""
+    rows = {tuple(r) for r in entities.select("id", "name", "line_start", F.array_join("called_by", " ")).collect()}
+    return rows, {tuple(r) for r in edges.select("src", "dst").collect()}
+
+
+def test_index_then_ask(spark, files, make_actions, tmp_path):
+    """What is indexed and stored can be asked: lookup, search, reach."""
+    root = f"file://{tmp_path}/g"
+    tables = store.GraphTables(spark, root, parts=3)
+    tables.overwrite(*store.index_files(files(of=TREE), AT))
+    make_actions([{"file_path": "shop/tax.py"}]).write.parquet(f"{root}/actions.parquet")
+    graph = CodeGraph.open(spark, root)
+    assert {r["id"] for r in graph.callers("shop/tax.py::rate").collect()} == {"shop/price.py::total", "shop/gone.py::old"}
+    assert {r["id"] for r in graph.reach("shop/cart.py::fill").collect()} >= {"shop/price.py::total", "shop/tax.py::rate"}
+    assert graph.entities.where("id = 'shop/tax.py::rate'").first()["called_by"] == ["shop/gone.py::old", "shop/price.py::total"]
+    best = graph.search("rate tax", k=1).first()
+    assert best["file_path"] == "shop/tax.py"
+    assert graph.path("shop/cart.py::fill", "shop/tax.py::rate") == ["shop/cart.py::fill", "shop/price.py::total", "shop/tax.py::rate"]
+
+
+def test_store_round_trip(spark, files, tmp_path):
+    s = store.GraphTables(spark, f"file://{tmp_path}/g", parts=4)
+    s.overwrite(*store.index_files(files(of=TREE), AT))
+    assert s.read("entities").count() == 5 and s.read("edges").count() == 4
+    s.delete(spark.createDataFrame([("shop/tax.py",)], "file_path string"))
+    assert s.read("entities").count() == 4
+    assert {tuple(r) for r in s.read("edges").collect()} == {("shop/cart.py::fill", "shop/price.py::total"), ("shop/cart.py::fill", "shop/cart.py::check")}
+    changed = s.read("entities").where("id = 'shop/cart.py::fill'").withColumn("calls", F.array(F.lit("shop/gone.py::old"), F.lit("raw_name")))
+    changed = store.materialize(changed)  # the store's files are about to be replaced
+    for _ in range(2):
+        s.upsert(changed)
+        assert [tuple(r) for r in s.read("edges").collect()] == [("shop/cart.py::fill", "shop/gone.py::old")] and s.read("entities").count() == 4
     s.mark_stale(changed)
     s.mark_stale(changed)
-    assert s.read("stale").count() == 1
+    assert s.stale().count() == 1
     s.clear_stale(changed)
-    assert s.read("stale").count() == 0
-    s.overwrite(graph[0].limit(1), graph[1].limit(0))
-    assert s.read("entities").count() == 1
+    assert s.stale().count() == 0
+    s.overwrite(store.materialize(s.read("entities").limit(1)), spark.createDataFrame([], "src string, dst string"))
+    assert s.read("entities").count() == 1 and s.read("edges").count() == 0 and s.load()[0].count() == 1
+    s.heartbeat("then")
     s.heartbeat("now")
-    assert s.metadata()["last_reconcile"] == "now"
-
-
-def test_reconcile(spark, graph, tmp_path, at):
-    s = store.GraphStore(spark, f"file://{tmp_path}/g")
-    s.overwrite(*graph)
-    contents = spark.createDataFrame([("auth.rs", None, "fn login() { fresh(); }\nfn fresh() {}\n")], "file_path string, language string, content string")
-    landed = f"file://{tmp_path}/events"
-    spark.createDataFrame([("auth.rs", "modified", 1), ("db.rs", "modified", 1), ("db.rs", "deleted", 2)], "file_path string, kind string, at int").write.parquet(landed)
-    events = spark.readStream.schema("file_path string, kind string, at int").parquet(landed)
-    jobs.reconciler(s, events, lambda: contents, f"file://{tmp_path}/cp").awaitTermination()
-    assert {r["id"] for r in s.read("entities").collect()} == {"main.rs::run", "auth.rs::login", "auth.rs::fresh"}
-    assert {tuple(r) for r in s.read("edges").collect()} == {("main.rs::run", "auth.rs::login"), ("auth.rs::login", "auth.rs::fresh")}
-    assert [r["file_path"] for r in s.read("stale").collect()] == ["db.rs"]
+    assert s.last_heartbeat() == "now"
+
+
+def test_a_change_leaves_other_partitions_alone(spark, files, tmp_path):
+    s = store.GraphTables(spark, f"file://{tmp_path}/g", parts=50)
+    s.overwrite(*store.index_files(files(of=TREE), AT))
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "g" / "entities.parquet").glob("part=*/*.parquet")}
+    s.delete(spark.createDataFrame([("shop/gone.py",)], "file_path string"))
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "g" / "entities.parquet").glob("part=*/*.parquet")}
+    # the deleted file's partition, and that of tax.py, which it called
+    assert len(before.items() & after.items()) == len(before) - 2
+
+
+@pytest.mark.parametrize("touched", [["shop/price.py"], ["shop/tax.py"], ["shop/cart.py", "shop/gone.py"], ["shop/gone.py"], ["shop/price.py", "shop/tax.py", "shop/cart.py"]])
+def test_reconcile_equals_indexing_the_changed_tree(spark, files, tmp_path, touched):
+    """After a stream of events the store holds what indexing the tree anew gives; gone and vanished files stay stale."""
+    now = dict(TREE)
+    now["shop/price.py"] = "from shop.tax import rate\n\n\ndef total():\n    rate()\n    extra()\n\ndef extra():\n    pass\n" if "shop/price.py" in touched else TREE["shop/price.py"]
+    if "shop/gone.py" in touched:
+        del now["shop/gone.py"]
+    s = store.GraphTables(spark, f"file://{tmp_path}/g", parts=4)
+    s.overwrite(*store.index_files(files(of=TREE), AT))
+    landed = f"{tmp_path}/events"
+    # gone.py is reported as modified, but isn't there any more
+    rows = [(p, True, f"2024-05-02 00:00:0{n}") for n, p in enumerate(touched)] + [("late.py", True, "2024-05-09 00:00:00")]
+    spark.createDataFrame(rows, "file_path string, exists boolean, at string").withColumn("at", F.col("at").cast("timestamp_ntz")).coalesce(1).write.json(landed)
+    events = jobs.debounced(jobs.file_events(spark, landed))
+    for _ in range(2):
+        jobs.reconciler(s, events, lambda: files(of=now), f"file://{tmp_path}/cp", AT).awaitTermination()
+    assert state(*s.load()) == state(*store.index_files(files(of=now), AT))
+    assert {r["file_path"] for r in s.stale().collect()} == {"shop/gone.py"} & set(touched)
+    assert s.last_heartbeat() is not None
+
+
+def test_reconcile_keeps_calls_of_others(spark, files):
+    """The caller alone is parsed again; its call into a file that stays must still be found."""
+    of = {"payroll.py": "def payout():\n    pass\n", "main.py": "from payroll import payout\ndef go():\n    payout()\n"}
+    entities, edges = store.index_files(files(of=of), AT)
+    events = spark.createDataFrame([("main.py", "modified", 1)], "file_path string, kind string, at int")
+    nodes, links, settled = jobs.reconcile(entities, edges, events, files(of=of))
+    assert {tuple(r) for r in links.collect()} == {("main.py::go", "payroll.py::payout")} and nodes.count() == 2
+    assert [r["file_path"] for r in settled.collect()] == ["main.py"]
+    gone = spark.createDataFrame([("payroll.py", "modified", 1), ("payroll.py", "deleted", 2)], "file_path string, kind string, at int")
+    nodes, links, settled = jobs.reconcile(entities, edges, gone, files(of=of))
+    assert links.count() == 0 and nodes.count() == 1 and settled.count() == 0
 
 
 def test_debounce(spark, at):
-    rows = [("a.rs", True, at(0)), ("a.rs", False, at(0.1)), ("a.rs", True, at(5)), ("a.txt", True, at(0))]
+    rows = [("a.rs", True, at(0)), ("a.rs", False, at(0.4)), ("a.rs", True, at(0.8)), ("a.rs", False, at(5)), ("a.txt", True, at(0))]
     got = jobs.debounced(spark.createDataFrame(rows, "file_path string, exists boolean, at timestamp_ntz")).orderBy("at").collect()
-    assert [(r["file_path"], r["kind"]) for r in got] == [("a.rs", "deleted"), ("a.rs", "modified")]
+    assert [(r["file_path"], r["kind"], r["at"]) for r in got] == [("a.rs", "modified", at(0.8)), ("a.rs", "deleted", at(5))]
+
+
+def test_clear_history(make_actions, at):
+    log = make_actions([{}, {"ts": at(9)}, {"ts": None, "logged_at": at(9)}])
+    assert store.clear_history(log).count() == 0 and store.clear_history(log, str(at(5))).count() == 2
 
 
 def test_streams_and_sinks(spark, make_actions, tmp_path, at):
@@ -139,9 +214,22 @@ def test_exports(spark, make_entities, make_edges, tmp_path):
     edges = make_edges([("a/x.rs::f", "b/y.rs::<g>"), ("a/x.rs::f", "gone::h")])
     report.export_json(entities, edges, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out" / "links")).count() == 1
-    from codeloom.operators.lookup import nodes_and_links
-
-    page = report.neighbourhood_html(*nodes_and_links(entities, edges))
-    assert "<g>" not in page and "b/y.rs" in page
+    page = report.export_html(entities, edges, f"file://{tmp_path}/html")
+    names = re.findall(r'src="([^"]+)"', page)
+    data = "".join((tmp_path / "html" / n).read_text() for n in names)
+    assert data.count("graph.nodes.push(") == 2 and data.count("graph.links.push(") == 1
+    assert "<g>" not in data and "b/y.rs" in data and "\\u003cg>" in data
     text = report.markdown_report(entities, edges, "T")
     assert "entities: 2 in 2 files" in text and "`a/x.rs::f` to `b/y.rs::<g>`" in text
+
+
+def test_scratch_is_cleared(spark):
+    from codeloom import session
+
+    first, second = (session.materialize(spark.range(3)) for _ in range(2))
+    folder = lambda df: df._scratch_path.removeprefix("file://")
+    assert os.path.isdir(folder(first)) and os.path.isdir(folder(second))
+    session.discard(first, None, spark.range(1))
+    assert not os.path.isdir(folder(first)) and second.count() == 3
+    session.cleanup(spark)
+    assert not os.path.isdir(folder(second))
