@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.prefilter import FOLD, required
+from codeloom.llm.prefilter import Finder, required
 from codeloom.operators.graph import components
 from codeloom.session import materialize
 
@@ -83,7 +83,7 @@ _DECLARED = re.compile(r"\s*(?:@\w|#\[|(?:export|default|pub(?:\([^)]*\))?|async
 #: What marks a string in a text whose strings and comments are taken out.
 _HOLE = "\u0001"
 #: Derived from the patterns: each match of a notice has one of these.
-_TRIGGERS = tuple(sorted(required(GENERATED_NOTICE) | required(VENDORED_NOTICE)))
+_triggers = Finder(required(GENERATED_NOTICE) | required(VENDORED_NOTICE))
 
 _RANDOM = np.random.default_rng(5).integers(0, 2**63, BANDS * ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -207,8 +207,7 @@ def own_notice(text: str, comments: list[tuple[int, int]]) -> str:
         last = start
     for start, end in comments:
         comment = text[start:end]
-        lowered = comment.translate(FOLD).lower()
-        if not any(t in lowered for t in _TRIGGERS) or not (GENERATED_NOTICE.search(comment) or VENDORED_NOTICE.search(comment)):
+        if not _triggers(comment) or not (GENERATED_NOTICE.search(comment) or VENDORED_NOTICE.search(comment)):
             continue
         if not (end <= lead or start >= last or _stands_alone(text, start, end)):
             continue

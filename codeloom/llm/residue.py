@@ -9,6 +9,7 @@ or a notice is an error page.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.prefilter import FOLD, required
+from codeloom.llm.prefilter import Finder, Guarded
 from codeloom.session import materialize
 
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)|`[^`\n]*`|<(?P<tag>code|pre)>.*?</(?P=tag)>", re.S)
@@ -92,27 +93,29 @@ UNFILLED = re.compile(
     r"|TODO|TBD|TBA|FIXME|(?i:changeme|placeholder|untitled|unnamed|undefined|unset)"
 )
 #: What a line needs for such a value, or for a gap before a mark.
-_MAY_HOLD = re.compile(r"_|\s[,.;](?:\s|$)|TODO|TBD|TBA|FIXME|(?i:changeme|placeholder|unnamed|un(?:title|define|se))")
+_MAY_HOLD = re.compile(r"[A-Z0-9]_[A-Z0-9]|_(?:name|version|date|team|owner|url|e?mail|id|title|author|release|project|user|company)\b|(?:your|my)_|\s[,.;](?:\s|$)|TODO|TBD|TBA|FIXME|(?i:changeme|placeholder|unnamed|un(?:title|define|se))")
+#: The part of UNFILLED without underscores, in lower case.
+_DEFAULTS = frozenset("todo tbd tba fixme changeme placeholder untitled unnamed undefined unset".split())
 _PIECE = re.compile(r"\w+|[^\w\s]")
+_LAST = re.compile(r"(?:\w+|[^\w\s])(?=\s*\Z)")
 _LABEL = re.compile(r"\s*(?:[-*#>]+\s*)?[^\W\d][^:\n]{0,40}:")
 #: The longest value in tokens, and the size of the bit maps that the values' frames are first looked up in.
 VALUE, BITS = 6, 1 << 20
 
 
 #: Derived from the patterns: every match has one of these.
-_TRIGGERS = tuple(sorted(frozenset().union(*[required(x) for x in (SLOT, FILLER, ERROR, _ANSWER, SCRIPT)])))
+_SLOT, _FILLER, _ERROR, _ANSWERS, _SCRIPT = (Guarded(x) for x in (SLOT, FILLER, ERROR, _ANSWER, SCRIPT))
+triggers = Finder(_SLOT.required | _FILLER.required | _ERROR.required | _ANSWERS.required | _SCRIPT.required)
 
 
-def triggers(text: str) -> list[str]:
-    """The triggers in a text."""
-    lowered = text.translate(FOLD).lower()
-    return [t for t in _TRIGGERS if t in lowered]
+def prose_of(text: str) -> str:
+    """The text with a mark for each piece of code."""
+    return _CODE.sub("¤", text.replace("\r\n", "\n").replace("\r", "\n"))
 
 
-def segments(text: str) -> list[str]:
-    """Sentences and lines of the prose; code and quotations are replaced by a mark."""
-    prose = _CODE.sub("¤", text.replace("\r\n", "\n").replace("\r", "\n"))
-    return [s for s in (x.strip() for x in _BREAK.split(prose)) if s]
+def segments(text: str, prose: str | None = None) -> list[str]:
+    """Sentences and lines of the prose; code is replaced by a mark."""
+    return [s for s in (x.strip() for x in _BREAK.split(prose_of(text) if prose is None else prose)) if s]
 
 
 def open_slots(segment: str) -> list[str]:
@@ -128,7 +131,7 @@ def open_slots(segment: str) -> list[str]:
 def is_navigation(segment: str) -> bool:
     """A list of links in one line, or a page's fixed line."""
     for mark in (" | ", " / ", " - ", " • ", " · ", " > "):
-        parts = segment.split(mark)
+        parts = segment.split(mark) if mark in segment else ()
         if len(parts) >= 3 and all(len(p) <= 60 and p[-1:] not in ".!?" for p in parts):
             return True
     return len(segment) <= 300 and bool(_CHROME.search(segment))
@@ -137,31 +140,32 @@ def is_navigation(segment: str) -> bool:
 def _lorem(segment: str) -> bool:
     found = _ANY_WORD.findall(segment.lower())
     n = len(found)
-    return n >= 4 and (sum(w in _LOREM for w in found) >= 0.7 * n or sum(w in _TYPED for w in found) >= 0.8 * n)
+    return n >= 4 and not (_LOREM.isdisjoint(found) and _TYPED.isdisjoint(found)) and (sum(w in _LOREM for w in found) >= 0.7 * n or sum(w in _TYPED for w in found) >= 0.8 * n)
 
 
-def describe(segment: str, hits: list[str] | tuple[str, ...] = _TRIGGERS) -> tuple[str, str, int]:
-    """(kind, skeleton, open slots) of a segment; kind is slot, filler, error, script, chrome, title or text.
-
-    ``hits``: the triggers that the whole text has.
-    """
-    lowered = segment.translate(FOLD).lower()
-    if not any(t in lowered for t in hits) and not _lorem(segment):
+def describe(segment: str) -> tuple[str, str, int]:
+    """(kind, skeleton, open slots) of a segment; kind is slot, filler, error, script, chrome, title or text."""
+    here = triggers(segment)
+    if not here and not _lorem(segment):
         if is_navigation(segment):
             return "chrome", "", 0
         short = len(segment) <= 70 and segment[-1:] not in ".!?:;" and segment.count(" ") < 8
         return "title" if short else "text", "", 0
-    slots = open_slots(segment)
+    has_slots = _SLOT.found(segment, here)
+    slots = open_slots(segment) if has_slots else []
     bare = _QUOTED.sub("¤", segment)
-    skeleton = _MASK.sub("#", SLOT.sub("□", bare).lower())
+    skeleton = _MASK.sub("#", (SLOT.sub("□", bare) if has_slots else bare).lower())
     if slots:
-        return ("error" if ERROR.search(segment) else "script" if SCRIPT.search(segment) and "noscript" in segment else "slot"), skeleton, len(slots)
-    if _lorem(bare) or FILLER.search(bare):
+        return ("error" if _ERROR.found(segment, here) else "script" if "noscript" in segment and _SCRIPT.found(segment, here) else "slot"), skeleton, len(slots)
+    if _lorem(bare) or _FILLER.found(bare, here):
         return "filler", skeleton, 0
-    told = _TOLD.search(bare) or _HEDGED.search(bare) and not _ADDRESSED.search(bare)
-    if not told and SCRIPT.search(bare):
+    script, answer, error = _SCRIPT.found(bare, here), _ANSWERS.found(segment, here), _ERROR.found(bare, here)
+    if script or error:
+        told = _TOLD.search(bare) or _HEDGED.search(bare) and not _ADDRESSED.search(bare)
+        script, error = script and not told, error and not told
+    if script:
         return "script", skeleton, 0
-    if _ANSWER.search(segment) or not told and ERROR.search(bare):
+    if answer or error:
         return "error", skeleton, 0
     if is_navigation(segment):
         return "chrome", skeleton, 0
@@ -185,14 +189,19 @@ def _frame(before: int, after: bytes, end: bool) -> int:
     return (before << 31) ^ zlib.crc32(after + (b"\n" if end else b""))
 
 
-def unfilled_values(text: str) -> set[tuple[int, int, str]]:
-    """(before, frame, value) of the values without marks that may be left open: names, defaults and blanks.
+@functools.lru_cache(maxsize=1 << 16)
+def _token_hash(token: str) -> int:
+    return zlib.crc32(("#" if token[0].isdigit() else token.lower()).encode("utf-8", "replace"))
+
+
+def unfilled_values(text: str, prose: str | None = None) -> set[tuple[int, int, int, int, str]]:
+    """(before, frame, first, last, value) of the values without marks that may be left open: names, defaults and blanks.
 
     A frame is the segment up to the value and from it on to its end, or to the next open value. It needs a
     label or three words. A blank is the end of a label without a value in the next line, or a gap before a mark.
+    ``first`` is the first token of the segment, ``last`` its last one where the value comes first, else 0.
     """
-    prose = _CODE.sub("¤", text.replace("\r\n", "\n").replace("\r", "\n"))
-    lines = prose.split("\n")
+    lines = (prose_of(text) if prose is None else prose).split("\n")
     out = set()
     for k, line in enumerate(lines):
         blank_end = line.rstrip()[-1:] == ":" and bool(_LABEL.fullmatch(line.rstrip()))
@@ -207,7 +216,7 @@ def unfilled_values(text: str) -> set[tuple[int, int, str]]:
             alone = lambda m: not re.match(r"[\w/:.\\(\[{<$%@'\"-]", bare[m.start() - 1 : m.start()]) and re.match(r"[,.;:!?)]*(?:\s|$)", bare[m.end() :])
             pieces = list(_PIECE.finditer(bare))
             tokens = [m.group() for m in pieces]
-            open_at = {i for i, m in enumerate(pieces) if tokens[i] == "\u0002" or cased and UNFILLED.fullmatch(tokens[i]) and (i or "_" in tokens[i]) and alone(m)}
+            open_at = {i for i, m in enumerate(pieces) if tokens[i] == "\u0002" or cased and ("_" in tokens[i] or i and tokens[i].lower() in _DEFAULTS) and UNFILLED.fullmatch(tokens[i]) and alone(m)}
             open_at |= {len(tokens)} if blank_end else set()
             tokens = tokens + ["\u0002"] if blank_end and segment and line.rstrip().endswith(segment) else tokens
             holes = [i for i in sorted(open_at) if i < len(tokens)]
@@ -217,15 +226,25 @@ def unfilled_values(text: str) -> set[tuple[int, int, str]]:
                 if n or not (before and before[-1] in (":", "=") or sum(t[0].isalpha() for t in before + after) >= 3) or not before and end < len(tokens):
                     continue
                 left = zlib.crc32(_pieces(" ".join(before))[2])
-                out.add((left, _frame(left, _pieces(" ".join(after))[2], end == len(tokens)), tokens[i].strip("\u0002").lower()))
+                first, last = (_token_hash(before[0]), 0) if before else (0, _token_hash(after[-1]) if after else 0)
+                out.add((left, _frame(left, _pieces(" ".join(after))[2], end == len(tokens)), first, last, tokens[i].strip("\u0002").lower()))
     return out
 
 
-def values_in_frames(text: str, befores: bytes, frames: bytes) -> set[tuple[int, str]]:
-    """(frame, value) for the frames in the maps that the text's segments fill with a value of their own."""
-    out = set()
+def values_in_frames(text: str, befores: bytes, frames: bytes, firsts: bytes, lasts: bytes) -> set[tuple[int, str]]:
+    """(frame, value) for the frames in the maps that the text's segments fill with a value of their own.
+
+    Only segments that begin with a frame's first token, or end with the last one of a frame that begins with its value, are
+    taken apart.
+    """
+    out, some_last = set(), 1 in lasts
     for segment in segments(text):
-        tokens, same, joined, at = _pieces(_QUOTED.sub("¤", segment))
+        opening, closing = _PIECE.match(segment), _LAST.search(segment) if some_last else None
+        if opening and not firsts[_token_hash(opening.group()) % BITS] and segment[0] not in '"“„«':
+            if not closing or not lasts[_token_hash(closing.group()) % BITS] and segment[-1] not in '"”“»':
+                continue
+        bare = _QUOTED.sub("¤", segment)
+        tokens, same, joined, at = _pieces(bare)
         n, left = len(tokens), 0
         for i in range(n):
             if i:
@@ -244,48 +263,40 @@ def values_in_frames(text: str, befores: bytes, frames: bytes) -> set[tuple[int,
     return out
 
 
-def unfilled_slots(documents: DataFrame) -> DataFrame:
+def unfilled_slots(documents: DataFrame, held: DataFrame) -> DataFrame:
     """(doc_id, frame): documents with a name, default or blank where other records of the template have values of their own.
 
-    Records are aligned by the frame around a possible value. The position is a slot if it varies: two values
-    or more elsewhere, and more than twice as many as there are different names in it.
+    ``held``: the open values of the documents, with their frames. Records are aligned by the frame around a possible
+    value. The position is a slot if it varies: two values or more elsewhere, and more than twice as many as there are
+    different names in it.
     """
-    source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-
-    def open_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(d, *x) for d, t in zip(*(batch.column(i).to_pylist() for i in range(2))) if d is not None and t for x in unfilled_values(t)]
-            cols = [pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "before", "frame", "value"])
-
-    held = materialize(source.mapInArrow(open_values, "doc_id long, before long, frame long, value string"))
 
-    def bits(column: str) -> bytes:
+    def bits(column: str, rows: DataFrame = held) -> bytes:
         out = bytearray(BITS)
-        for (k,) in held.select((F.col(column) % BITS).cast("int")).distinct().collect():  # at most BITS rows
+        for (k,) in rows.select(F.pmod(F.col(column), F.lit(BITS)).cast("int")).distinct().collect():  # at most BITS rows
             out[k] = 1
         return bytes(out)
 
     befores, frames = bits("before"), bits("frame")
+    firsts, lasts = bits("first", held.where("first <> 0")), bits("last", held.where("last <> 0"))
 
     def own_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = sorted({x for t in batch.column(1).to_pylist() if t for x in values_in_frames(t, befores, frames)})
+            rows = sorted({x for t in batch.column(0).to_pylist() if t for x in values_in_frames(t, befores, frames, firsts, lasts)})
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate((pa.int64(), pa.string()))], ["frame", "value"])
 
     names = held.groupBy("frame").agg(F.count_distinct("value").alias("names"))
-    values = source.mapInArrow(own_values, "frame long, value string").join(names.select("frame"), "frame", "left_semi")
+    values = documents.select("text").mapInArrow(own_values, "frame long, value string").join(names.select("frame"), "frame", "left_semi")
     slots = values.distinct().groupBy("frame").agg(F.count(F.lit(1)).alias("values")).join(names, "frame")
     slots = slots.where("values >= 2 and values > 2 * names").select("frame")
     return held.join(slots, "frame", "left_semi").select("doc_id", "frame").distinct()
 
 
-def page_passages(text: str, hits: list[str]) -> int:
+def page_passages(text: str) -> int:
     """Lines of four words or more that are an error or notice as a whole, and runs of page segments with one in it."""
-    prose = _CODE.sub("¤", text.replace("\r\n", "\n").replace("\r", "\n"))
     found, run = 0, []
-    for line in [*prose.split("\n"), ""]:
-        kinds = [describe(x.strip(), hits)[0] for x in _BREAK.split(line) if x.strip()]
+    for line in [*prose_of(text).split("\n"), ""]:
+        kinds = [describe(x.strip())[0] for x in _BREAK.split(line) if x.strip()]
         if kinds and set(kinds) <= {"error", "script", "chrome", "title"} and {"error", "script"} & set(kinds):
             found += len(_ANY_WORD.findall(line)) >= 4 and not re.match(r"\s*(?:[-*+>]|\d+[.)])\s", line)
         for kind in [*kinds, ""] if line.strip() else [""]:
@@ -297,32 +308,38 @@ def page_passages(text: str, hits: list[str]) -> int:
     return found
 
 
-_SCHEMA = "doc_id long, kind string, skeleton string, n_slots int, n int, n_text int, page string, n_passages int"
+_SCHEMA = (
+    "doc_id long, kind string, skeleton string, n_slots int, n int, n_text int, page string, n_passages int,"
+    " before long, frame long, first long, last long, value string"
+)
 
 
 def text_segments(documents: DataFrame) -> DataFrame:
-    """A row per document and segment that could be residue, with the document's count of ordinary segments and its page skeleton."""
+    """A row per document and segment that could be residue, with the document's count of ordinary segments and its page skeleton.
+
+    Rows of kind held are the document's unfilled_values.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+        fields = [(f.split()[0], kinds[f.split()[1]]) for f in _SCHEMA.split(",")]
         for batch in batches:
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if doc is None or not text:
                     continue
-                hits = triggers(text)
                 told: dict[tuple, int] = {}
-                ordinary = titles = 0
-                for s in segments(text):
-                    kind, skeleton, n = describe(s, hits)
+                ordinary, prose = 0, prose_of(text)
+                for s in segments(text, prose):
+                    kind, skeleton, n = describe(s)
                     ordinary += kind == "text"
-                    titles += kind == "title"
                     if kind not in ("text", "chrome", "title"):
                         told[kind, skeleton, n] = told.get((kind, skeleton, n), 0) + 1
                 page = " / ".join(sorted({s for k, s, _ in told}))
-                passages = page_passages(text, hits) if ordinary and any(k in ("error", "script") for k, _, _ in told) else 0
-                out += [(doc, k, s, n, c, ordinary, page, passages) for (k, s, n), c in told.items()]
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [f.split()[0] for f in _SCHEMA.split(", ")])
+                passages = page_passages(text) if ordinary and any(k in ("error", "script") for k, _, _ in told) else 0
+                out += [(doc, k, s, n, c, ordinary, page, passages, None, None, None, None, None) for (k, s, n), c in told.items()]
+                out += [(doc, "held", None, None, None, None, None, None, *x) for x in unfilled_values(text, prose)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, (_, k) in enumerate(fields)], [f for f, _ in fields])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
 
@@ -338,11 +355,12 @@ def residue(documents: DataFrame) -> DataFrame:
     Null and empty texts, and empty tables, give no rows; a repeated document is one row; extra columns are
     ignored.
     """
-    unmarked = unfilled_slots(documents).select(
+    scanned = materialize(text_segments(documents))
+    unmarked = unfilled_slots(documents, scanned.where("kind = 'held'")).select(
         "doc_id", F.lit("slot").alias("kind"), F.concat(F.lit("frame "), F.col("frame")).alias("skeleton"), F.lit(1).alias("n_slots"),
         F.lit(1).alias("n"), F.lit(0).alias("n_text"), F.lit("").alias("page"), F.lit(0).alias("n_passages"),
     )
-    found = materialize(text_segments(documents).unionByName(unmarked))
+    found = materialize(scanned.where("kind <> 'held'").select(unmarked.columns).unionByName(unmarked))
     aligned = found.groupBy("skeleton").agg(F.count_distinct("doc_id").alias("docs"))
     pages = found.where("kind in ('error', 'script')").select("doc_id", "page").distinct().groupBy("page").agg(F.count(F.lit(1)).alias("page_docs"))
     per_doc = (

@@ -2,7 +2,7 @@
 
 import pytest
 
-from codeloom.llm import residue
+from codeloom.llm import prefilter, residue
 
 BODY = "The reader keeps one page in memory. It writes the rest to disk. Nobody waits for it. A second reader may follow. Both share the index."
 
@@ -90,7 +90,7 @@ def test_pages_pasted_into_long_texts(spark, passage):
 
 @pytest.mark.parametrize(
     "text",
-    ["Oops! Something broke.", "test test test test", "word word word word", "This page requires JS", "Some words will follow.", "Check whether JavaScript is enabled in your browser.", "Thıs page requires javaſcript"],
+    ["The page cannot be found.", "The page could not be found.", "This link can't be found.", "This file could not be found on this server.", "(Error 404)", "Text to come later", "Oops! Something broke.", "test test test test", "word word word word", "This page requires JS", "Some words will follow.", "Check whether JavaScript is enabled in your browser.", "Thıs page requires javaſcript"],
 )
 def test_no_prefilter_hides_a_match(spark, text):
     df = spark.createDataFrame([(1, text), (2, BODY)], "doc_id long, text string")
@@ -99,5 +99,36 @@ def test_no_prefilter_hides_a_match(spark, text):
 
 def test_each_alternative_has_a_trigger():
     for pattern in (residue.SLOT, residue.FILLER, residue.ERROR, residue._ANSWER, residue.SCRIPT):
-        parsed = residue.sre.parse(pattern.pattern, pattern.flags)
-        assert residue._required(parsed) and residue._required(parsed) <= set(residue._TRIGGERS)
+        assert prefilter.required(pattern) and prefilter.required(pattern) <= residue.triggers.strings
+
+
+def test_same_with_and_without_the_prefilter(spark, monkeypatch):
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("text is not null").select("text").collect()]
+    segments = {s for t in texts for s in residue.segments(t)}
+    quick = {s: residue.describe(s)[0] for s in segments}
+
+    class Whole:
+        def __init__(self, pattern):
+            self.found = lambda text, here: bool(pattern.search(text))
+
+    for name, pattern in {"_SLOT": residue.SLOT, "_FILLER": residue.FILLER, "_ERROR": residue.ERROR, "_ANSWERS": residue._ANSWER, "_SCRIPT": residue.SCRIPT}.items():
+        monkeypatch.setattr(residue, name, Whole(pattern))
+    monkeypatch.setattr(residue, "triggers", lambda segment: {"all"})
+    assert quick == {s: residue.describe(s)[0] for s in segments}
+
+
+def test_alternatives():
+    assert prefilter.alternatives(r"a|b(c|d)|[|\]]|\||[^]|]x|") == ["a", "b(c|d)", r"[|\]]", r"\|", "[^]|]x", ""]
+
+
+def test_alignment_alone_finds_rows(spark, monkeypatch):
+    """Nothing but the comparison with other records of the template tells that a value was left open."""
+    rows = [(n, f"{BODY}\nContact: {p}\nThe area lead is {p} for now.") for n, p in enumerate(["Ann Lee", "Bob", "Carl Ort", "Dora"])]
+    rows += [(10, rows[0][1].replace("Contact: Ann Lee", "Contact: LEAD_NAME")), (11, rows[1][1].replace("lead is Bob for", "lead is TBD for"))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"] for r in residue.residue(frame).collect()} == {10, 11}
+    # the same values where no other record fills the place
+    alone = spark.createDataFrame(rows[4:], "doc_id long, text string")
+    assert residue.residue(alone).count() == 0
+    monkeypatch.setattr(residue, "unfilled_slots", lambda d, held: spark.createDataFrame([], "doc_id long, frame long"))
+    assert residue.residue(frame).count() == 0
