@@ -98,14 +98,18 @@ _MAY_HOLD = re.compile(r"[A-Z0-9]_[A-Z0-9]|_(?:name|version|date|team|owner|url|
 _DEFAULTS = frozenset("todo tbd tba fixme changeme placeholder untitled unnamed undefined unset".split())
 _PIECE = re.compile(r"\w+|[^\w\s]")
 _LAST = re.compile(r"(?:\w+|[^\w\s])(?=\s*\Z)")
+_OPEN_LABEL = re.compile(r":\s*(?:\n|\Z)")
 _LABEL = re.compile(r"\s*(?:[-*#>]+\s*)?[^\W\d][^:\n]{0,40}:")
 #: The longest value in tokens, and the size of the bit maps that the values' frames are first looked up in.
 VALUE, BITS = 6, 1 << 20
 
 
 #: Derived from the patterns: every match has one of these.
-_SLOT, _FILLER, _ERROR, _ANSWERS, _SCRIPT = (Guarded(x) for x in (SLOT, FILLER, ERROR, _ANSWER, SCRIPT))
-triggers = Finder(_SLOT.required | _FILLER.required | _ERROR.required | _ANSWERS.required | _SCRIPT.required)
+_SLOT, _FILLER, _ERROR, _ANSWERS, _SCRIPT, _CHROMES = (Guarded(x) for x in (SLOT, FILLER, ERROR, _ANSWER, SCRIPT, _CHROME))
+_RESIDUE = _SLOT.required | _FILLER.required | _ERROR.required | _ANSWERS.required | _SCRIPT.required
+#: Filler is only looked for beside one of its longer words.
+_FILL = frozenset(w for w in _LOREM | _TYPED if len(w) > 2)
+triggers = Finder(_RESIDUE | _CHROMES.required | _FILL)
 
 
 def prose_of(text: str) -> str:
@@ -128,26 +132,27 @@ def open_slots(segment: str) -> list[str]:
     return out
 
 
-def is_navigation(segment: str) -> bool:
-    """A list of links in one line, or a page's fixed line."""
+def is_navigation(segment: str, here: set[str]) -> bool:
+    """A list of links in one line, or a page's fixed line; ``here``: its triggers."""
     for mark in (" | ", " / ", " - ", " • ", " · ", " > "):
         parts = segment.split(mark) if mark in segment else ()
         if len(parts) >= 3 and all(len(p) <= 60 and p[-1:] not in ".!?" for p in parts):
             return True
-    return len(segment) <= 300 and bool(_CHROME.search(segment))
+    return len(segment) <= 300 and _CHROMES.found(segment, here)
 
 
 def _lorem(segment: str) -> bool:
     found = _ANY_WORD.findall(segment.lower())
     n = len(found)
-    return n >= 4 and not (_LOREM.isdisjoint(found) and _TYPED.isdisjoint(found)) and (sum(w in _LOREM for w in found) >= 0.7 * n or sum(w in _TYPED for w in found) >= 0.8 * n)
+    return n >= 4 and (sum(w in _LOREM for w in found) >= 0.7 * n or sum(w in _TYPED for w in found) >= 0.8 * n)
 
 
 def describe(segment: str) -> tuple[str, str, int]:
     """(kind, skeleton, open slots) of a segment; kind is slot, filler, error, script, chrome, title or text."""
     here = triggers(segment)
-    if not here and not _lorem(segment):
-        if is_navigation(segment):
+    may_fill = not _FILL.isdisjoint(here)
+    if _RESIDUE.isdisjoint(here) and not (may_fill and _lorem(segment)):
+        if is_navigation(segment, here):
             return "chrome", "", 0
         short = len(segment) <= 70 and segment[-1:] not in ".!?:;" and segment.count(" ") < 8
         return "title" if short else "text", "", 0
@@ -157,7 +162,7 @@ def describe(segment: str) -> tuple[str, str, int]:
     skeleton = _MASK.sub("#", (SLOT.sub("□", bare) if has_slots else bare).lower())
     if slots:
         return ("error" if _ERROR.found(segment, here) else "script" if "noscript" in segment and _SCRIPT.found(segment, here) else "slot"), skeleton, len(slots)
-    if _lorem(bare) or _FILLER.found(bare, here):
+    if may_fill and _lorem(bare) or _FILLER.found(bare, here):
         return "filler", skeleton, 0
     script, answer, error = _SCRIPT.found(bare, here), _ANSWERS.found(segment, here), _ERROR.found(bare, here)
     if script or error:
@@ -167,7 +172,7 @@ def describe(segment: str) -> tuple[str, str, int]:
         return "script", skeleton, 0
     if answer or error:
         return "error", skeleton, 0
-    if is_navigation(segment):
+    if is_navigation(segment, here):
         return "chrome", skeleton, 0
     if len(segment) <= 70 and segment[-1:] not in ".!?:;" and segment.count(" ") < 8:
         return "title", skeleton, 0
@@ -201,7 +206,10 @@ def unfilled_values(text: str, prose: str | None = None) -> set[tuple[int, int,
     label or three words. A blank is the end of a label without a value in the next line, or a gap before a mark.
     ``first`` is the first token of the segment, ``last`` its last one where the value comes first, else 0.
     """
-    lines = (prose_of(text) if prose is None else prose).split("\n")
+    prose = prose_of(text) if prose is None else prose
+    if not (_OPEN_LABEL.search(prose) or _MAY_HOLD.search(prose)):
+        return set()
+    lines = prose.split("\n")
     out = set()
     for k, line in enumerate(lines):
         blank_end = line.rstrip()[-1:] == ":" and bool(_LABEL.fullmatch(line.rstrip()))
@@ -353,7 +361,8 @@ def residue(documents: DataFrame) -> DataFrame:
     segments of its kind, or twice as many where its whole page skeleton is met in three documents or more. In a
     longer text it counts as a passage: see page_passages. A bare status such as 'Access denied.' is none.
     Null and empty texts, and empty tables, give no rows; a repeated document is one row; extra columns are
-    ignored.
+    ignored. A slot's name has at most 41 characters and a quotation 300: what is longer between such marks is prose, and
+    is looked at as such. Texts of any length are looked at whole.
     """
     scanned = materialize(text_segments(documents))
     unmarked = unfilled_slots(documents, scanned.where("kind = 'held'")).select(

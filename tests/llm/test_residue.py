@@ -98,8 +98,9 @@ def test_no_prefilter_hides_a_match(spark, text):
 
 
 def test_each_alternative_has_a_trigger():
-    for pattern in (residue.SLOT, residue.FILLER, residue.ERROR, residue._ANSWER, residue.SCRIPT):
-        assert prefilter.required(pattern) and prefilter.required(pattern) <= residue.triggers.strings
+    for pattern in (residue.SLOT, residue.FILLER, residue.ERROR, residue._ANSWER, residue.SCRIPT, residue._CHROME):
+        assert prefilter.required(pattern) and prefilter.required(pattern)  # each pattern as a whole
+        assert prefilter.Guarded(pattern).required <= residue.triggers.strings
 
 
 def test_same_with_and_without_the_prefilter(spark, monkeypatch):
@@ -111,9 +112,9 @@ def test_same_with_and_without_the_prefilter(spark, monkeypatch):
         def __init__(self, pattern):
             self.found = lambda text, here: bool(pattern.search(text))
 
-    for name, pattern in {"_SLOT": residue.SLOT, "_FILLER": residue.FILLER, "_ERROR": residue.ERROR, "_ANSWERS": residue._ANSWER, "_SCRIPT": residue.SCRIPT}.items():
+    for name, pattern in {"_SLOT": residue.SLOT, "_FILLER": residue.FILLER, "_ERROR": residue.ERROR, "_ANSWERS": residue._ANSWER, "_SCRIPT": residue.SCRIPT, "_CHROMES": residue._CHROME}.items():
         monkeypatch.setattr(residue, name, Whole(pattern))
-    monkeypatch.setattr(residue, "triggers", lambda segment: {"all"})
+    monkeypatch.setattr(residue, "triggers", lambda segment: set(residue._RESIDUE | residue._FILL))
     assert quick == {s: residue.describe(s)[0] for s in segments}
 
 
