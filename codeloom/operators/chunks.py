@@ -73,6 +73,7 @@ def chunk_runs(
     ends: list[str] = (),
     distinct: str | None = None,
     chunks: int | None = None,
+    clean: dict | None = None,
 ) -> DataFrame:
     """One row per run and chunk: ``run`` columns, n_rows, sum_*, first_*, last_*, n_distinct, chunk, pos, edge.
 
@@ -80,7 +81,8 @@ def chunk_runs(
     must be implied by equality in ``order``, so that repetitions share a chunk). ``alone``: rows null in
     this column join no run. ``sums``: long columns, null counts 0. ``ends``: columns whose first and last
     value are kept. ``distinct``: a column, sorted within the run, whose different non-null values are
-    counted. ``edge``: the first or last run of its chunk.
+    counted. ``edge``: the first or last run of its chunk. ``clean``: columns outside ``order`` that take another
+    value once the rows are sorted, so that the sampling for the ranges doesn't compute them.
     """
     ends = list(dict.fromkeys([*ends, *([distinct] if distinct else [])]))
     sums, run = list(sums), list(run)
@@ -180,7 +182,7 @@ def chunk_runs(
         if open_run is not None:
             yield from out([dict(open_run, edge=True)])
 
-    return range_sorted(df.select(*needed), order, chunks).mapInArrow(scan, schema)
+    return range_sorted(df.select(*needed), order, chunks).withColumns(clean or {}).mapInArrow(scan, schema)
 
 
 def stitch_runs(
@@ -224,7 +226,7 @@ def stitch_runs(
     return partial.where("not edge").select(names).unionByName(merged.select(names))
 
 
-def ordered_runs(df: DataFrame, order: list[str], run: list[str], within: list[str], *, same=None, alone=None, sums=(), ends=(), distinct=None, chunks=None) -> DataFrame:
+def ordered_runs(df: DataFrame, order: list[str], run: list[str], within: list[str], *, same=None, alone=None, sums=(), ends=(), distinct=None, chunks=None, clean=None) -> DataFrame:
     """chunk_runs followed by stitch_runs."""
-    partial = chunk_runs(df, order, run, same=same, alone=alone, sums=sums, ends=ends, distinct=distinct, chunks=chunks)
+    partial = chunk_runs(df, order, run, same=same, alone=alone, sums=sums, ends=ends, distinct=distinct, chunks=chunks, clean=clean)
     return stitch_runs(partial, run, within, alone=alone, sums=sums, ends=ends, distinct=distinct)

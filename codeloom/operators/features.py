@@ -32,12 +32,20 @@ def feature_events(actions: DataFrame) -> DataFrame:
 
 
 def deliveries(events: DataFrame) -> DataFrame:
-    """(id, first, last): of each id the versions delivered first and last, a null logged_us being before all others.
+    """(id, first, last): of each id the version delivered first, and the last one if it is another.
 
-    Those in between are inserted and retracted again, so they change nothing. One aggregation with map-side combine.
+    A null logged_us is before all others. Versions in between are inserted and retracted again, so they change
+    nothing. One aggregation with map-side combine.
     """
     rest = F.struct(*[c for c in events.columns if c != "id"])
-    return events.groupBy("id").agg(F.min(rest).alias("first"), F.max(rest).alias("last"))
+    both = events.groupBy("id").agg(F.min(rest).alias("first"), F.max(rest).alias("last"))
+    return both.withColumn("last", F.when(F.col("first") < F.col("last"), F.col("last")))
+
+
+def redeliveries(both: DataFrame) -> DataFrame:
+    """signed_deltas of what was delivered again, from deliveries(): the versions stand side by side, so nothing is joined."""
+    signed = F.array(F.struct(F.col("first").alias("v"), F.lit(-1).alias("sign")), F.struct(F.col("last").alias("v"), F.lit(1).alias("sign")))
+    return both.where("last is not null").select("id", F.explode(signed).alias("d")).select("id", "d.v.*", "d.sign")
 
 
 def last_versions(events: DataFrame) -> DataFrame:
@@ -100,7 +108,8 @@ def apply_deltas(state: DataFrame, known: DataFrame, deltas: DataFrame) -> DataF
         F.coalesce((F.col("out_at") >= F.col("last_at")) & (F.coalesce("in_at", F.lit(-(2**62))) < F.col("out_at")), F.lit(False)).alias("reached"),
     )
     moved = materialize(moved.where("n > 0"))
-    affected = moved.where("reached").select(*[F.col(c).alias(f"k_{c}") for c in PAIR])
+    # written, so that its size is known: mostly nothing or little, and the versions then stay where they are
+    affected = materialize(moved.where("reached").select(*[F.col(c).alias(f"k_{c}") for c in PAIR]))
     match = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in PAIR]
     gone = deltas.where("sign < 0").select("id")
     again = known.join(affected, match, "left_semi").join(gone, "id", "left_anti").select(*PAIR, "at")

@@ -23,16 +23,10 @@ def collapse_runs(actions: DataFrame, chunks: int | None = None) -> DataFrame:
     durations count 0; a null session or ts is a value like any other, first in order; null action types
     agree with each other. An empty table gives no rows; further columns are ignored.
     """
-    rows = actions.select(
-        "session_id",
-        "ts",
-        "id",
-        clean_action(F.col("action_type")).alias("action_type"),
-        clean_path(F.col("file_path")).alias("file_path"),
-        "duration_ms",
-    )
+    rows = actions.select("session_id", "ts", "id", "action_type", "file_path", "duration_ms")
+    clean = {"action_type": clean_action(F.col("action_type")), "file_path": clean_path(F.col("file_path"))}
     order, run = ["session_id", "ts", "id"], ["session_id", "action_type", "file_path"]
-    runs = ordered_runs(rows, order, run, ["session_id"], same=order, alone="file_path", sums=["duration_ms"], ends=["id", "ts"], chunks=chunks)
+    runs = ordered_runs(rows, order, run, ["session_id"], same=order, alone="file_path", sums=["duration_ms"], ends=["id", "ts"], chunks=chunks, clean=clean)
     return runs.select(
         *run,
         "first_id",

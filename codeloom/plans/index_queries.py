@@ -7,11 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.paths import clean_path
+from codeloom.functions.paths import clean_action, clean_path
 from codeloom.operators import lookup, rank, resolve, store
 from codeloom.plans.base import CLEAN_PATH, CURRENT, query
 from codeloom.plans.graph_queries import ASK, FILE, K
-from codeloom.session import scratch_dir
+from codeloom.session import materialize, scratch_dir
 from codeloom.sources import trees
 from codeloom.sources.tables import current_edges, current_entities, load
 from codeloom.streaming import jobs
@@ -76,6 +76,59 @@ def index_edges(spark: SparkSession, d: str) -> DataFrame:
     return resolve.call_edges(*trees.extract_all(load(spark, d, "source_files")))
 
 
+@query(
+    CURRENT.rstrip()
+    + f""", e as (select distinct g.src, s.file_path as source_file, d.id as dst, d.name, d.file_path as dst_file from g join ce s on s.id = g.src join ce d on d.id = g.dst
+    where s.file_path <> d.file_path and regexp_full_match(d.name, '\\w+')),
+  chosen as (select source_file, name, arg_max(dst_file, dst) as dst_file from e group by all),
+  sym as (select {MODULE.format('file_path')} as module, name, max(id) as id from ce group by all)
+select distinct e.src, sym.id as dst from e join chosen using (source_file, name) join sym on sym.module = {MODULE.format('chosen.dst_file')} and sym.name = e.name where e.src <> sym.id"""
+)
+def resolve_implied_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Calls between files written anew as a bare name and an import of it, and resolved again through these imports."""
+    nodes = materialize(current_entities(load(spark, d, "entities"), ["id", "name", "file_path"]))
+    links = current_edges(load(spark, d, "edges"))
+    source = nodes.select(F.col("id").alias("src"), F.col("file_path").alias("source_file"))
+    target = nodes.where(F.col("name").rlike(r"^\w+$")).select(F.col("id").alias("dst"), F.col("name").alias("symbol"), F.col("file_path").alias("dst_file"))
+    across = materialize(links.join(source, "src").join(target, "dst").where("source_file <> dst_file"))
+    chosen = across.groupBy("source_file", "symbol").agg(F.max_by("dst_file", "dst").alias("dst_file"))
+    imports = chosen.select(
+        "source_file", F.translate(trees.module_name(F.col("dst_file")), ".", "/").alias("module_path"), "symbol",
+        F.lit(None).cast("string").alias("alias"), F.col("symbol").alias("imported_name"), F.lit(0).alias("ordinal"),
+    )
+    calling = across.groupBy(F.col("src").alias("id"), F.col("source_file").alias("file_path")).agg(F.collect_set("symbol").alias("calls"))
+    return resolve.resolve_calls(calling, imports, nodes).select("src", "dst").distinct()
+
+
+@query(
+    CURRENT.rstrip()
+    + """, f as (select distinct file_path from ce), e as (select distinct file_path from a where action_type = 'file_edit'), r as (select distinct file_path from a where action_type = 'test_run' and file_path is not null)
+select file_path from f where file_path in (select file_path from e) and file_path not in (select file_path from r)"""
+)
+def stale_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Files are marked stale that were edited, and cleared that were tested; what is left of the marks."""
+    tables = store.GraphTables(spark, f"{scratch_dir(spark)}/codeloom/store-{uuid.uuid4().hex}")
+    files = current_entities(load(spark, d, "entities"), ["id", "file_path"]).select("file_path").distinct()
+    log = load(spark, d, "actions").select(clean_path(F.col("file_path")).alias("file_path"), clean_action(F.col("action_type")).alias("kind"))
+    of = lambda kind: files.join(log.where(F.col("kind") == kind), "file_path", "left_semi")
+    tables.mark_stale(of("file_edit"))
+    tables.clear_stale(of("test_run"))
+    return tables.stale()
+
+
+@query("select id from actions where id is not null and coalesce(ts, logged_at) >= timestamp '2024-07-01' group by id")
+def clear_history(spark: SparkSession, d: str) -> DataFrame:
+    """The ids left in the log after its first half year was cleared."""
+    return store.clear_history(load(spark, d, "actions"), "2024-07-01 00:00:00").where("id is not null").select("id").distinct()
+
+
+@query("select distinct file_path, coalesce(regexp_matches(file_path, '[^/\\\\]\\.(rs|py|js|jsx|mjs|cjs|ts|tsx|mts|cts|go)$'), false) as watched from (select file_path from actions union select file_path from source_files) where file_path is not null")
+def watched_files(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a watcher looks at each path of the log and the files; the extension's case counts."""
+    paths = load(spark, d, "actions").select("file_path").unionByName(load(spark, d, "source_files").select("file_path"))
+    return paths.where("file_path is not null").distinct().withColumn("watched", trees.is_source_file(F.col("file_path")))
+
+
 INDEXED_AT = "2024-12-31 00:00:00"
 
 
@@ -204,7 +257,7 @@ def stream_reconcile_tree(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     f"""with e as (select file_path, action_type <> 'error' as here, ts from (select {CLEAN_PATH} as file_path, action_type, ts from actions) where file_path is not null and ts is not null
-    and regexp_matches(file_path, '[^/\\]\\.(rs|py|js|jsx|mjs|cjs|ts|tsx|mts|cts|go)$')),
+    and regexp_matches(file_path, '[^/\\\\]\\.(rs|py|js|jsx|mjs|cjs|ts|tsx|mts|cts|go)$')),
   m as (select *, case when ts < lag(ts) over w + interval 10 minutes then 0 else 1 end as fresh from e window w as (partition by file_path order by ts)),
   s as (select *, sum(fresh) over (partition by file_path order by ts rows unbounded preceding) as burst from m)
 select file_path, case when max(struct_pack(ts := ts, here := here)).here then 'modified' else 'deleted' end as kind, max(ts) as at from s group by file_path, burst"""

@@ -104,7 +104,7 @@ def _state(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     as_of = actions.select(F.max(features.micros(F.col("ts")))).first()[0]
     both = materialize(features.deliveries(features.feature_events(actions)))
     known = both.select("id", "first.*")
-    deltas = materialize(features.signed_deltas(known, both.where("first < last").select("id", "last.*")))
+    deltas = materialize(features.redeliveries(both))
     return features.apply_deltas(features.initial_state(known), known, deltas), as_of or 0
 
 

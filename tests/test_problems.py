@@ -114,6 +114,32 @@ def test_deltas_end_where_a_full_count_does(spark, make_actions, at):
     assert state_rows(got) == state_rows(whole)
 
 
+def test_redeliveries_retract(spark, make_actions, at):
+    rows = [{"id": "a", "ts": at(5), "duration_ms": 3}, {"id": "b", "ts": at(1), "file_path": "b.rs"}, {"id": "c", "logged_at": None, "ts": at(9)}, {"id": "d", "ts": at(7)}]
+    again = [{"id": "a", "ts": at(2), "duration_ms": 4, "logged_at": at(50)}, {"id": "b", "ts": at(1), "file_path": "b.rs", "logged_at": at(60)}, {"id": "c", "ts": at(3), "logged_at": at(70)}, {"id": "a", "logged_at": at(40)}]
+    log = make_actions(rows + again)
+    events = features.feature_events(log.unionByName(log.where("id = 'd'")))
+    both = features.deliveries(events)
+    deltas = features.redeliveries(both)
+    assert Counter((r["id"], r["sign"]) for r in deltas.collect()) == {(i, s): 1 for i in "abc" for s in (-1, 1)}
+    known = both.select("id", "first.*")
+    same = features.signed_deltas(known, events)
+    assert {tuple(r) for r in same.collect()} == {tuple(r) for r in deltas.select(same.columns).collect()}
+    got = features.apply_deltas(features.initial_state(known), known, deltas)
+    whole = features.initial_state(features.last_versions(events))
+    assert {tuple(r) for r in got.select(whole.columns).collect()} == {tuple(r) for r in whole.collect()}
+    # c's latest event was retracted: the maximum is d's now
+    assert got.where("file_path = 'a.rs'").first()["last_at"] == features.feature_events(log).where("id = 'd'").first()["at"]
+
+
+def test_the_query_replays_with_retractions(spark):
+    from codeloom.sources.tables import load
+
+    both = features.deliveries(features.feature_events(load(spark, "/root/testdata/sf0.01", "actions")))
+    signs = dict(map(tuple, features.redeliveries(both).groupBy("sign").count().collect()))
+    assert signs[-1] == signs[1] > 100
+
+
 def test_feature_rows_and_columns(spark, make_actions):
     events = features.feature_events(make_actions([{"tool": "t"}, {"tool": "t", "action_type": "ERROR"}, {"tool": None}]))
     rows = features.feature_rows(features.initial_state(features.last_versions(events)), events.agg(F.max("at")).first()[0])
