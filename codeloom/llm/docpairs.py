@@ -85,8 +85,11 @@ def description(doc: str) -> str:
     return "\n".join(lines).strip()
 
 
-def declarations(source_files: DataFrame, code: bool = True) -> DataFrame:
-    """A row for each declaration in the files. Rows without path or content give none; ``code=False`` leaves its column null."""
+def declarations(source_files: DataFrame, code: str = "all") -> DataFrame:
+    """A row for each declaration in the files. Rows without path or content give none.
+
+    ``code``: whether all have their code, or only those that are "documented", or "none".
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [f.split()[0] for f in _DECLARATIONS.split(",")]
@@ -97,7 +100,7 @@ def declarations(source_files: DataFrame, code: bool = True) -> DataFrame:
                     continue
                 for d in scan(path, content, language, interfaces=True):
                     if d["entity_type"] != "class":
-                        rows.append(d | {"file_path": path, "repo": repo, "language": language, "code": d["code"] if code else None})
+                        rows.append(d | {"file_path": path, "repo": repo, "language": language, "code": d["code"] if code == "all" or code == "documented" and d["doc"] else None})
             kinds = {"line_start": pa.int32(), "body": pa.bool_(), "bases": pa.list_(pa.string())}
             cols = {n: pa.array([r[n] for r in rows], kinds.get(n, pa.string())) for n in names}
             yield from pa.table(cols).to_batches()
@@ -160,7 +163,8 @@ def documented_functions(source_files: DataFrame, entities: DataFrame, code: boo
     one counts. Empty or null content, unknown languages and empty tables give no rows; extra columns are
     ignored.
     """
-    table = symbol_docs(materialize(declarations(source_files, code)))
+    # the code of functions without documentation, most of which give no pair, isn't written
+    table = symbol_docs(materialize(declarations(source_files, "documented" if code else "none")))
 
     @F.pandas_udf("string")
     def kept(doc: pd.Series, name: pd.Series) -> pd.Series:
@@ -170,6 +174,10 @@ def documented_functions(source_files: DataFrame, entities: DataFrame, code: boo
     ids = entities.where("id is not null and entity_type in ('function', 'method', 'test_function')").select(F.col("id").alias("entity_id")).distinct()
     w = Window.partitionBy("entity_id").orderBy(F.col("doc_from") != "own", "file_path", "line_start")
     first = told.withColumnRenamed("id", "entity_id").withColumn("nth", F.row_number().over(w)).where("nth = 1")
-    return first.join(ids, "entity_id", "left_semi").select(
-        "entity_id", "name", "entity_type", "language", "file_path", "line_start", "description", "doc_from", "code"
-    )
+    first = first.join(ids, "entity_id", "left_semi")
+    if code:
+        first = materialize(first)
+        files = first.where("doc_from <> 'own'").select("file_path").distinct()
+        late = declarations(source_files.join(files, "file_path", "left_semi")).groupBy(F.col("id").alias("entity_id"), "line_start").agg(F.first("code").alias("late"))
+        first = first.join(late, ["entity_id", "line_start"], "left").withColumn("code", F.coalesce("code", "late"))
+    return first.select("entity_id", "name", "entity_type", "language", "file_path", "line_start", "description", "doc_from", "code")

@@ -122,8 +122,14 @@ def _scored(index: dict, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     which, at = _expand(index["posting_at"][t], index["posting_at"][t + 1])
     item = index["posting_item"][at]
     kept = near[rows[which] * n + item // BLOCK]
-    pair, place = np.unique(rows[which[kept]] * len(index["ids"]) + item[kept], return_inverse=True)
-    score = np.bincount(place, index["posting_impact"][at[kept]], len(pair))
+    pair, impact, n_pairs = rows[which[kept]] * len(index["ids"]) + item[kept], index["posting_impact"][at[kept]], len(terms) * len(index["ids"])
+    if n_pairs <= _CELLS:
+        score = np.bincount(pair, impact, n_pairs)
+        pair = np.flatnonzero(score >= 1 - 1e-4)
+        score = score[pair]
+    else:
+        pair, place = np.unique(pair, return_inverse=True)
+        score = np.bincount(place, impact, len(pair))
     top = score >= 1 - 1e-4
     return pair[top] // len(index["ids"]), pair[top] % len(index["ids"]), score[top]
 
@@ -143,9 +149,13 @@ def search(index: dict, docs: list[tuple[int, str]]) -> list[tuple[int, int, flo
         padded = np.full((count - 1) * STRIDE + PASSAGE, unknown, np.int32)
         padded[: len(ids)] = ids[: len(padded)]
         view = np.lib.stride_tricks.sliding_window_view(padded, PASSAGE)[::STRIDE]
-        known = (view != unknown).sum(axis=1) >= MIN_WORDS  # fewer can't hold a span
+        # only passages with MIN_WORDS words in a row that some item has can hold a span
+        gaps = np.concatenate([[0], np.cumsum(padded == unknown)])
+        starts = np.flatnonzero(gaps[MIN_WORDS:] == gaps[:-MIN_WORDS])
+        known = np.unique(starts // STRIDE)
+        known = known[known < count]
         passages.append(view[known])
-        rows += [key] * int(known.sum())
+        rows += [key] * len(known)
     if not rows:
         return []
     found: dict[tuple[int, int], list] = {}

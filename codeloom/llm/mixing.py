@@ -2,20 +2,20 @@
 
 Method: each record of a source gets the same expected number of copies, the whole part for certain and the
 fraction by pivotal dependent rounding: two records with fractional copies are paired, and token mass moves
-at random from one to the other until one of them is a whole number. Each task pairs the records that
-stream by and passes on at most one fractional record a source; those residuals are paired the same way up a
-reduction tree. The token total of a source is thus met but for the last record.
+at random from one to the other until one of them is a whole number. The records are dealt to nodes by a hash of seed
+and id. Each node pairs its records in the order of that hash and passes on at most one fractional record a source;
+those residuals are paired the same way up a reduction tree. The token total of a source is thus met but for the last record.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +24,8 @@ from codeloom.session import materialize
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The split pattern that belongs to the vocabulary above.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-FANOUT = 16
+#: Children of a node of the tree, and records of a leaf on average.
+FANOUT, LEAF = 16, 1 << 17
 EPS = 1e-9
 
 
@@ -116,29 +117,28 @@ def reduce_fractions(rows: Iterator[tuple[str, int, int, float]], seed: int) ->
         yield source, key, tokens, fraction, False
 
 
-def mix(counted: DataFrame, targets: DataFrame, seed: int = 1, fanout: int = FANOUT) -> DataFrame:
+def mix(counted: DataFrame, targets: DataFrame, seed: int = 1, fanout: int = FANOUT, leaf: int = LEAF) -> DataFrame:
     """(doc_id, source, n_tokens, copies): the records used, with the times each is used, at most max_repeats.
 
     ``counted``: (doc_id, source, n_tokens), read twice. ``targets``: (source, target_share, max_repeats), one
     row a source, compared trimmed and lower-cased. Repeated records are records of their own; records of 0
     tokens, of a null source or of a source without target are not used; empty tables give no rows. The result
-    depends on the order in which files are read, not on when tasks run.
+    depends on the records and the seed, not on files, their order or tasks.
     """
     spark = counted.sparkSession
     wanted = [tuple(r) for r in targets.select(source_name(F.col("source")), "target_share", "max_repeats").where("source is not null").collect()]
-    totals = [tuple(r) for r in counted.groupBy("source").agg(F.sum("n_tokens")).where(F.col("source").isin([w[0] for w in wanted])).collect()]
-    copies = plan(totals, wanted)
+    sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("source").isin([w[0] for w in wanted])).collect()
+    copies = plan([(r["source"], r["t"]) for r in sums], wanted)
+    leaves = max(1, -(-sum(r["n"] for r in sums) // leaf))
     schema = "doc_id long, source string, n_tokens long, whole long, fraction double, settled boolean, node long"
     if not copies:
         return spark.createDataFrame([], "doc_id long, source string, n_tokens long, copies long")
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node = TaskContext.get().partitionId()
-
-        def rows() -> Iterator[tuple[str, int, int, float]]:
+        def rows() -> Iterator[tuple[int, str, int, int, float]]:
             for batch in batches:
-                for d, s, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    yield s, d, n, copies[s] % 1.0
+                for d, s, n, node in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    yield node, s, d, n, copies[s] % 1.0
 
         out: dict[str, list] = {"doc_id": [], "source": [], "n_tokens": [], "whole": [], "fraction": [], "settled": [], "node": []}
 
@@ -148,15 +148,19 @@ def mix(counted: DataFrame, targets: DataFrame, seed: int = 1, fanout: int = FAN
                 v.clear()
             return made
 
-        for source, key, tokens, fraction, settled in reduce_fractions(rows(), seed):
-            for k, v in zip(out, (key, source, tokens, int(copies[source]), fraction, settled, node)):
-                out[k].append(v)
-            if len(out["doc_id"]) >= 8192:
-                yield flush()
+        for node, own in itertools.groupby(rows(), lambda r: r[0]):
+            for source, key, tokens, fraction, settled in reduce_fractions((r[1:] for r in own), seed):
+                for k, v in zip(out, (key, source, tokens, int(copies[source]), fraction, settled, node)):
+                    out[k].append(v)
+                if len(out["doc_id"]) >= 8192:
+                    yield flush()
         if out["doc_id"]:
             yield flush()
 
     usable = counted.where(F.col("source").isin(list(copies)) & (F.col("n_tokens") > 0)).select("doc_id", "source", "n_tokens")
+    draw = F.xxhash64(F.lit(seed), "doc_id")
+    usable = usable.withColumns({"node": F.pmod(draw, F.lit(leaves)), "draw": draw}).repartition("node").sortWithinPartitions("node", "draw", "doc_id", "source", "n_tokens")
+    usable = usable.select("doc_id", "source", "n_tokens", "node")
     decided = materialize(usable.mapInArrow(first_pass, schema))
 
     def merge(level: int):
@@ -175,7 +179,7 @@ def mix(counted: DataFrame, targets: DataFrame, seed: int = 1, fanout: int = FAN
     # the tree: residuals of ``fanout`` nodes meet in one, level by level; a node gets at most one a source and child
     done = decided.where("settled")
     open_rows = decided.where("not settled")
-    nodes, level = (open_rows.agg(F.max("node")).first()[0] or 0) + 1, 0
+    nodes, level = leaves, 0
     while nodes > 1:
         level += 1
         merged = materialize(open_rows.groupBy("source", F.floor(F.col("node") / fanout).alias("parent")).applyInPandas(merge(level), schema))

@@ -49,6 +49,7 @@ def test_pairs(spark):
     got = {r["entity_id"]: r for r in documented_functions(files, entities).collect()}
     assert set(got) == {"p.py::a", "p.py::C::a", "t.ts::f", "u.ts::g"}
     assert got["p.py::a"]["description"] == "Reads every row twice." and got["p.py::a"]["code"].startswith("def a")
+    assert got["u.ts::g"]["code"].startswith("export function g")
     assert got["u.ts::g"]["doc_from"] == "declaration" and got["t.ts::f"]["doc_from"] == "own"
     assert documented_functions(files.limit(0), entities).count() == 0 and documented_functions(files, entities.limit(0)).count() == 0
 

@@ -24,7 +24,7 @@ def targets(spark):
 
 
 def test_shares_caps_and_residuals(counted, targets):
-    mixture = mixing.mix(counted, targets, fanout=2).cache()
+    mixture = mixing.mix(counted, targets, fanout=2, leaf=100).cache()
     totals = {r["source"]: r["t"] for r in mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t")).collect()}
     assert set(totals) == {"a", "b", "c"}
     whole = sum(totals.values())
@@ -39,8 +39,11 @@ def test_shares_caps_and_residuals(counted, targets):
     assert mixture.where("n_tokens = 0").count() == 0 and mixture.groupBy("doc_id").count().where("count > 1").count() == 0
     report = {r["source"]: r for r in mixing.shares(mixture, counted, targets).collect()}
     assert report["gone"]["actual_share"] == 0 and report["free"]["target_share"] is None and report["free"]["n_used"] == 0
-    again = mixing.mix(counted, targets, fanout=2)
+    # other files, order and partitions make no difference
+    again = mixing.mix(counted.repartition(3, "n_tokens").sortWithinPartitions(F.desc("doc_id")), targets, fanout=2, leaf=100)
     assert again.exceptAll(mixture).count() == 0 and mixture.exceptAll(again).count() == 0
+    other = mixing.mix(counted, targets, seed=2, fanout=2, leaf=100)
+    assert other.exceptAll(mixture).count() > 0
 
 
 def test_fractions_keep_their_expectation():
