@@ -83,18 +83,35 @@ def mentions(text: Column, query: str) -> Column:
     return F.coalesce(found, F.lit(False))
 
 
+#: The reasons given beside a result.
+REASONS = {
+    "name": "name match: ",
+    "path": "file path match: ",
+    "direct": "directly connected to query match (1 hop)",
+    "graph": "connected via call graph (",
+    "hops": " hops)",
+    "now": "recently accessed (< 1 minute ago)",
+    "recent": "recently accessed (",
+    "minutes": " minutes ago)",
+    "hours": " hours ago)",
+    "docstring": "docstring mentions ",
+    "other": "related via code structure",
+}
+
+
 def reason(name: Column, path: Column, docstring: Column, distance: Column, seconds: Column, query: str) -> Column:
     """Why a row was found: name, path, distance, recency, documentation, in this order of preference."""
-    minutes, hours = F.floor(seconds / 60).cast("long"), F.floor(seconds / 3600).cast("long")
+    minutes, hours = F.floor(seconds / 60).cast("string"), F.floor(seconds / 3600).cast("string")
     whole = F.coalesce(F.contains(F.lower(docstring), F.lit(query.lower())), F.lit(False))
+    say = {k: F.lit(v) for k, v in REASONS.items()}
     return (
-        F.when(mentions(name, query), F.concat(F.lit("name match: "), name))
-        .when(mentions(path, query), F.concat(F.lit("file path match: "), path))
-        .when(distance == 1, F.lit("directly connected to query match (1 hop)"))
-        .when(distance > 1, F.concat(F.lit("connected via call graph ("), distance.cast("string"), F.lit(" hops)")))
-        .when(seconds < 60, F.lit("recently accessed (< 1 minute ago)"))
-        .when(seconds < 3600, F.concat(F.lit("recently accessed ("), minutes.cast("string"), F.lit(" minutes ago)")))
-        .when(seconds.isNotNull(), F.concat(F.lit("recently accessed ("), hours.cast("string"), F.lit(" hours ago)")))
-        .when(whole, F.lit(f'docstring mentions "{query}"'))
-        .otherwise(F.lit("related via code structure"))
+        F.when(mentions(name, query), F.concat(say["name"], name))
+        .when(mentions(path, query), F.concat(say["path"], path))
+        .when(distance == 1, say["direct"])
+        .when(distance > 1, F.concat(say["graph"], distance.cast("string"), say["hops"]))
+        .when(seconds < 60, say["now"])
+        .when(seconds < 3600, F.concat(say["recent"], minutes, say["minutes"]))
+        .when(seconds.isNotNull(), F.concat(say["recent"], hours, say["hours"]))
+        .when(whole, F.concat(say["docstring"], F.lit(f'"{query}"')))
+        .otherwise(say["other"])
     )

@@ -13,6 +13,7 @@ from codeloom.sources.tables import current_edges, current_entities, load
 HUB, CALLED, FILE, NAME = "src/core/runner.py::run_everything", "src/core/config.rs::setting", "src/core/config.rs", "setting"
 ASK, K = "route handler", 10
 SHOWN = "id, name, entity_type, file_path, line_start, coalesce(line_end, -1) as line_end, language"
+WHY = text.REASONS
 #: Unknown line numbers and distances are shown as -1.
 UNKNOWN = -1
 
@@ -321,15 +322,15 @@ SCORED = f"""scored as (
     0.4::double * greatest({_share("name")}, {_share("ce.file_path")})
     + 0.3::double * (case distance when 0 then 1.0 when 1 then 0.7 when 2 then 0.4 when 3 then 0.2 else 0.0 end)::double
     + 0.2::double * coalesce(pow(0.5::double, seconds / 3600.0::double), 0.0::double) + 0.1::double * {_share("docstring")} as score,
-    case when {" or ".join(f"contains(lower(name), '{t}')" for t in [ASK, *ASK.split()])} then 'name match: ' || name
-      when {" or ".join(f"contains(lower(ce.file_path), '{t}')" for t in [ASK, *ASK.split()])} then 'file path match: ' || ce.file_path
-      when distance = 1 then 'directly connected to query match (1 hop)'
-      when distance > 1 then 'connected via call graph (' || distance || ' hops)'
-      when seconds < 60 then 'recently accessed (< 1 minute ago)'
-      when seconds < 3600 then 'recently accessed (' || seconds // 60 || ' minutes ago)'
-      when seconds is not null then 'recently accessed (' || seconds // 3600 || ' hours ago)'
-      when contains(lower(docstring), '{ASK}') then 'docstring mentions "{ASK}"'
-      else 'related via code structure' end as reason
+    case when {" or ".join(f"contains(lower(name), '{t}')" for t in [ASK, *ASK.split()])} then '{WHY["name"]}' || name
+      when {" or ".join(f"contains(lower(ce.file_path), '{t}')" for t in [ASK, *ASK.split()])} then '{WHY["path"]}' || ce.file_path
+      when distance = 1 then '{WHY["direct"]}'
+      when distance > 1 then '{WHY["graph"]}' || distance || '{WHY["hops"]}'
+      when seconds < 60 then '{WHY["now"]}'
+      when seconds < 3600 then '{WHY["recent"]}' || seconds // 60 || '{WHY["minutes"]}'
+      when seconds is not null then '{WHY["recent"]}' || seconds // 3600 || '{WHY["hours"]}'
+      when contains(lower(docstring), '{ASK}') then '{WHY["docstring"]}"{ASK}"'
+      else '{WHY["other"]}' end as reason
   from ce join dist using (id) left join recent on recent.file_path = ce.file_path)"""
 SCORES = CURRENT.rstrip() + ", " + ", ".join([DISTANCE, RECENT, SCORED])
 STALE = f""", stale as (

@@ -7,21 +7,21 @@ import pytest
 from codeloom.functions import text
 from codeloom.operators import graph, history, lookup, rank
 
-MAIN, USER, TOKEN, TEST, HELPER = "src/main.rs::main", "src/auth.rs::authenticate_user", "src/auth.rs::verify_token", "tests/auth_test.rs::test_authenticate", "tests/auth_test.rs::setup_helper"
+BATCH, GLAZE, MIX, TEST, WEDGE = "src/batch.rs::batch", "src/kiln.rs::glaze_bowl", "src/kiln.rs::mix_clay", "tests/kiln_test.rs::test_glaze", "tests/kiln_test.rs::wedge_clay"
 
 
 @pytest.fixture(scope="module")
 def code(make_entities, make_edges):
     entities = make_entities(
         [
-            {"id": MAIN, "docstring": "Entry point", "calls": [USER]},
-            {"id": USER, "docstring": "Authenticates a user by JWT token", "calls": [TOKEN], "called_by": [MAIN]},
-            {"id": TOKEN, "called_by": [USER]},
-            {"id": TEST, "entity_type": "test_function", "calls": [USER]},
-            {"id": HELPER},
+            {"id": BATCH, "docstring": "Fires all that is waiting", "calls": [GLAZE]},
+            {"id": GLAZE, "docstring": "Glazes a bowl by its recipe", "calls": [MIX], "called_by": [BATCH]},
+            {"id": MIX, "called_by": [GLAZE]},
+            {"id": TEST, "entity_type": "test_function", "calls": [GLAZE]},
+            {"id": WEDGE},
         ]
     )
-    return entities, make_edges([(MAIN, USER), (USER, TOKEN), (TEST, USER), (MAIN, USER)])
+    return entities, make_edges([(BATCH, GLAZE), (GLAZE, MIX), (TEST, GLAZE), (BATCH, GLAZE)])
 
 
 def start(spark, *ids):
@@ -34,10 +34,10 @@ def ids(df):
 
 def test_reach(spark, code):
     _, edges = code
-    assert ids(graph.reach(edges, start(spark, MAIN), 1)) == {MAIN, USER}
-    assert ids(graph.reach(edges, start(spark, MAIN), 2)) == {MAIN, USER, TOKEN}
-    assert ids(graph.reach(edges, start(spark, TOKEN), 2, reverse=True)) == {TOKEN, USER, MAIN, TEST}
-    assert ids(graph.dependency_chain(edges, start(spark, MAIN), 2)) == {USER, TOKEN}
+    assert ids(graph.reach(edges, start(spark, BATCH), 1)) == {BATCH, GLAZE}
+    assert ids(graph.reach(edges, start(spark, BATCH), 2)) == {BATCH, GLAZE, MIX}
+    assert ids(graph.reach(edges, start(spark, MIX), 2, reverse=True)) == {MIX, GLAZE, BATCH, TEST}
+    assert ids(graph.dependency_chain(edges, start(spark, BATCH), 2)) == {GLAZE, MIX}
     assert ids(graph.reach(edges, start(spark, "unknown"), 3)) == {"unknown"}
     assert graph.reach(edges, start(spark), None).count() == 0
 
@@ -58,9 +58,9 @@ def test_reach_like_a_loop_with_cycles(spark, make_edges):
 
 def test_paths(spark, code):
     _, edges = code
-    pairs = spark.createDataFrame([(MAIN, TOKEN), (TOKEN, MAIN), ("x", "x"), (TEST, TOKEN)], "source string, target string")
+    pairs = spark.createDataFrame([(BATCH, MIX), (MIX, BATCH), ("x", "x"), (TEST, MIX)], "source string, target string")
     got = {(r["source"], r["target"]): r["path"] for r in graph.shortest_paths(edges, pairs).collect()}
-    assert got == {(MAIN, TOKEN): [MAIN, USER, TOKEN], ("x", "x"): ["x"], (TEST, TOKEN): [TEST, USER, TOKEN]}
+    assert got == {(BATCH, MIX): [BATCH, GLAZE, MIX], ("x", "x"): ["x"], (TEST, MIX): [TEST, GLAZE, MIX]}
 
 
 def test_paths_end_at_the_limit_and_break_ties_by_id(spark, make_edges):
@@ -72,9 +72,9 @@ def test_paths_end_at_the_limit_and_break_ties_by_id(spark, make_edges):
 
 def test_impact_and_tests(spark, code, make_entities, make_edges):
     entities, edges = code
-    assert {r[0] for r in graph.impact_of_file(entities, edges, "src/auth.rs").collect()} == {"src/main.rs", "tests/auth_test.rs"}
-    assert ids(graph.tests_covering(entities, edges, start(spark, TOKEN))) == {TEST}
-    assert ids(graph.tests_covering(entities, edges, start(spark, MAIN))) == set()
+    assert {r[0] for r in graph.impact_of_file(entities, edges, "src/kiln.rs").collect()} == {"src/batch.rs", "tests/kiln_test.rs"}
+    assert ids(graph.tests_covering(entities, edges, start(spark, MIX))) == {TEST}
+    assert ids(graph.tests_covering(entities, edges, start(spark, BATCH))) == set()
     chain = ["deep.rs::test_deep", *[f"deep.rs::{c}" for c in "abcdef"], "deep.rs::target"]
     deep = make_entities([{"id": c, "entity_type": "test_function" if "test" in c else "function"} for c in chain])
     assert ids(graph.tests_covering(deep, make_edges(list(zip(chain, chain[1:]))), start(spark, "deep.rs::target"))) == {chain[0]}
@@ -82,15 +82,15 @@ def test_impact_and_tests(spark, code, make_entities, make_edges):
 
 def test_lookups(spark, code):
     entities, edges = code
-    assert ids(lookup.callers(entities, edges, USER)) == {MAIN, TEST} and ids(lookup.callees(entities, edges, USER)) == {TOKEN}
+    assert ids(lookup.callers(entities, edges, GLAZE)) == {BATCH, TEST} and ids(lookup.callees(entities, edges, GLAZE)) == {MIX}
     assert lookup.entity_by_id(entities, "no").count() == 0
-    assert ids(lookup.entities_in_file(entities, "src/auth.rs")) == {USER, TOKEN}
-    assert ids(lookup.entities_by_name(entities, "main")) == {MAIN} and ids(lookup.entities_by_language(entities, "RUST")) == {MAIN, USER, TOKEN, TEST, HELPER}
-    pairs = spark.createDataFrame([(MAIN, USER), (USER, MAIN)], "src string, dst string")
+    assert ids(lookup.entities_in_file(entities, "src/kiln.rs")) == {GLAZE, MIX}
+    assert ids(lookup.entities_by_name(entities, "batch")) == {BATCH} and ids(lookup.entities_by_language(entities, "RUST")) == {BATCH, GLAZE, MIX, TEST, WEDGE}
+    pairs = spark.createDataFrame([(BATCH, GLAZE), (GLAZE, BATCH)], "src string, dst string")
     assert lookup.edges_that_exist(pairs, edges).count() == 1
     counts = lookup.graph_counts(entities, edges).first()
     assert (counts["n_entities"], counts["n_edges"], counts["n_files"], counts["n_tests"]) == (5, 3, 3, 1)
-    assert lookup.god_nodes(entities, edges).first()["id"] == USER
+    assert lookup.god_nodes(entities, edges).first()["id"] == GLAZE
 
 
 def test_current_rows(make_entities, at):
@@ -121,13 +121,13 @@ def files(df):
 
 def test_ranked_query(code, make_actions):
     entities, _ = code
-    none = make_actions([]) if False else make_actions([{"file_path": None}])
-    assert files(rank.ranked_query(entities, none, "authenticate", 2)) == [
-        ("src/auth.rs", 0.8, "name match: authenticate_user"),
-        ("tests/auth_test.rs", 0.7, "name match: test_authenticate"),
+    none = make_actions([{"file_path": None}])
+    assert files(rank.ranked_query(entities, none, "glaze", 2)) == [
+        ("src/kiln.rs", 0.8, "name match: glaze_bowl"),
+        ("tests/kiln_test.rs", 0.7, "name match: test_glaze"),
     ]
-    assert files(rank.ranked_query(entities, none, "main", 5))[0][0] == "src/main.rs"
-    for query, k in (("", 5), ("   ", 5), ("main", 0), ("zzzz", 5)):
+    assert files(rank.ranked_query(entities, none, "batch", 5))[0][0] == "src/batch.rs"
+    for query, k in (("", 5), ("   ", 5), ("batch", 0), ("zzzz", 5)):
         assert files(rank.ranked_query(entities, none, query, k)) == []
 
 
@@ -146,9 +146,9 @@ def test_documentation_only_matches_need_the_full_scan(make_entities, make_actio
 
 def test_recency_and_stale(code, make_actions, at, spark):
     entities, _ = code
-    log = make_actions([{"file_path": "src/main.rs", "ts": at(0)}, {"file_path": "x.rs", "ts": at(3600)}])
-    stale = spark.createDataFrame([("src/main.rs",)], "file_path string")
-    row = rank.ranked_query(entities, log, "main", 1, stale).first()
+    log = make_actions([{"file_path": "src/batch.rs", "ts": at(0)}, {"file_path": "x.rs", "ts": at(3600)}])
+    stale = spark.createDataFrame([("src/batch.rs",)], "file_path string")
+    row = rank.ranked_query(entities, log, "batch", 1, stale).first()
     assert row["stale_warning"] == rank.STALE and abs(row["score"] - (0.4 + 0.3 + 0.2 * 0.5)) < 1e-9
 
 
@@ -158,7 +158,7 @@ def column(spark, c):
 
 @pytest.mark.parametrize(
     ("name", "query", "expected"),
-    [("authenticate_user", "authenticate user", 1.0), ("authenticate_user", "authenticate unknown", 0.5), ("authenticate_user", "a", 0.0), (None, "user", 0.0)],
+    [("glaze_bowl", "glaze bowl", 1.0), ("glaze_bowl", "glaze unknown", 0.5), ("glaze_bowl", "g", 0.0), (None, "bowl", 0.0)],
 )
 def test_name_score(spark, name, query, expected):
     from pyspark.sql import functions as F

@@ -43,9 +43,9 @@ def test_calls_through_python_imports(files, caller):
 
 
 def test_calls_through_rust_and_script_imports(files):
-    rust = {"src/auth/token.rs": "pub fn verify() {}\n", "src/main.rs": "use crate::auth::token::verify;\nuse crate::auth::token;\nfn main() { verify(); }\nfn other() { token::verify(); }\n"}
+    rust = {"src/clay/mix.rs": "pub fn stir() {}\n", "src/kiln.rs": "use crate::clay::mix::stir;\nuse crate::clay::mix;\nfn fire() { stir(); }\nfn other() { mix::stir(); }\n"}
     got = edges_of(files, rust)
-    assert got == {("src/main.rs::main", "src/auth/token.rs::verify"), ("src/main.rs::other", "src/auth/token.rs::verify")}
+    assert got == {("src/kiln.rs::fire", "src/clay/mix.rs::stir"), ("src/kiln.rs::other", "src/clay/mix.rs::stir")}
     near = {"src/a/mod.rs": "pub fn top() {}\n", "src/a/b.rs": "use super::top;\nuse self::c::deep;\nfn f() { top(); deep(); }\n", "src/a/b/c.rs": "pub fn deep() {}\n", "src/z/a.rs": "pub fn top() {}\n"}
     assert edges_of(files, near) == {("src/a/b.rs::f", "src/a/mod.rs::top"), ("src/a/b.rs::f", "src/a/b/c.rs::deep")}
     script = {"lib/x.js": "export function f() {}\n", "lib/y.js": "import { f as g } from './x';\nfunction h() { g(); }\n"}
